@@ -6,16 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate, oracles, packing, quality_rules, sharding
 from .common import read
-from .packing import pack
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters and line-frequency verdicts of all documents."""
+    verdict = quality_rules.judge(read(spark, sf_dir, "documents"))
+    return verdict.drop("text_key", "frequent")
+
+
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes, equal texts together."""
+    return sharding.shard(read(spark, sf_dir, "documents"), n_shards=40)
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power-of-two packing of all documents with the 49k word vocabulary."""
     import public_tokenizers
 
-    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, max_len=4096)
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, max_len=4096)
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark."""
+    return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_pack": op6_pack}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_shards": op2_shards,
+    "op6_pack": op6_pack,
+    "op10_decontaminate": op10_decontaminate,
+}
+ORACLE: dict[str, str] = {"op1_quality_rules": oracles.quality_rules()}
