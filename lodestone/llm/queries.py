@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, oracles, packing, quality_rules, sharding
+from . import decontaminate, near_dup, oracles, packing, quality_rules, sharding
 from .common import read
 
 
@@ -21,6 +21,11 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents on four-word shingles at similarity 0.8."""
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, threshold=80)
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power-of-two packing of all documents with the 49k word vocabulary."""
     import public_tokenizers
@@ -36,6 +41,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_shards": op2_shards,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_pack": op6_pack,
     "op10_decontaminate": op10_decontaminate,
 }
