@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, near_dup, oracles, packing, quality_rules, sharding
-from .common import read
+from . import decontaminate, language_id, near_dup, oracles, packing, quality_rules, sharding
+from .common import id_remainder, read
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,14 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents by rank-order profiles of the rows outside the fold of remainder 2."""
+    docs = read(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 4) == 2
+    found = language_id.identify(docs, language_id.learn(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on four-word shingles at similarity 0.8."""
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, threshold=80)
@@ -41,6 +50,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_shards": op2_shards,
+    "op3_language_id": op3_language_id,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_pack": op6_pack,
     "op10_decontaminate": op10_decontaminate,
