@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_dup, oracles, packing, quality_rules, sharding
+from . import decontaminate, language_id, near_dup, oracles, packing, quality_rules, sharding, toxicity
 from .common import id_remainder, read
 
 
@@ -30,6 +30,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels outside the fold of remainder 0."""
+    docs = read(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on four-word shingles at similarity 0.8."""
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, threshold=80)
@@ -51,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_shards": op2_shards,
     "op3_language_id": op3_language_id,
+    "op4_toxicity": op4_toxicity,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_pack": op6_pack,
     "op10_decontaminate": op10_decontaminate,
