@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, lm_scoring, near_dup, oracles, packing, quality_rules, sharding, toxicity
+from . import decontaminate, html_extract, language_id, lm_scoring, near_dup, oracles, packing, quality_rules, sharding, toxicity
 from .common import id_remainder, read
 
 
@@ -50,6 +50,11 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, max_len=4096)
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_extract.extract(read(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and hidden Markov model scores of all documents, learned outside the fold of remainder 2."""
     return lm_scoring.score(read(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 7) == 2)
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_pack": op6_pack,
+    "op8_main_text": op8_main_text,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontaminate": op10_decontaminate,
 }
