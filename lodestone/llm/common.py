@@ -95,3 +95,8 @@ def numbered(df: DataFrame, out: str, within: list[str], lead: list[Column], ord
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, counted; else as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

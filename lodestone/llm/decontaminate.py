@@ -13,12 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 SHINGLE = 5
 RADIUS = 15
-#: Rows up to which a benchmark's or a hit list's keys are broadcast; beyond it Spark joins by shuffle.
-BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -62,11 +60,6 @@ def weighted_jaccard(a: str, b: str) -> Column:
         struct(0L AS lo, 0L AS hi), (t, x) -> struct(t.lo + x.lo AS lo, t.hi + x.hi AS hi), t -> t.lo / t.hi)""")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows are within the bound, else as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Documents that hold a benchmark item: id, item id, ``start`` (word), ``n_words``, ``hamming``, ``similarity``; for
     each document and item the most similar window (the first of equals).

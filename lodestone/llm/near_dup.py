@@ -24,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, written
+from .common import mix64, slices, small, written
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-#: Documents in a block, and the candidate list up to which ids are broadcast to the texts.
-BLOCK, BROADCAST_ROWS = 256, 2_000_000
+#: Documents in a block.
+BLOCK = 256
+#: Ids up to which a list of them is broadcast to the texts (16 MB); beyond, texts and ids are shuffled.
+FEW_IDS = 2_000_000
 
 
 def shingle_set(raw: bytes | None, n: int = 4) -> np.ndarray:
@@ -55,7 +57,7 @@ def super_minhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     seed = np.concatenate(sets)
     places = None
     for level in range(m):
-        draw = mix64(seed + np.uint64(level + 1) * GOLDEN)
+        draw = mix64(seed + np.uint64((level + 1) * int(GOLDEN) % (1 << 64)))
         value = (draw >> np.uint64(40)).astype(np.float64) / (1 << 24) + level
         other = level + ((draw & np.uint64(0xFFFFFFFF)) * np.uint64(m - level) >> np.uint64(32)).astype(np.int64)
         if level == 0:
@@ -121,8 +123,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, sh
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(raw, shingle).tobytes() for raw in texts], pa.binary())], names=["id", "elements"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small(ids, FEW_IDS), "id", "left_semi")
     sets = wanted.mapInArrow(build, f"id {kind}, elements binary")
     return sets.groupBy("id").agg(F.min("elements").alias("elements"))  # one text for a repeated id
 
@@ -253,4 +254,4 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose document leads its group; rows with a null id stay; all columns stay."""
     gone = near_duplicates(docs, id_col, **options).filter(~F.col("kept")).select(F.col(id_col).alias("__gone"))
-    return docs.join(written(gone, "gone"), F.col(id_col) == F.col("__gone"), "left_anti")
+    return docs.join(small(written(gone, "gone"), FEW_IDS), F.col(id_col) == F.col("__gone"), "left_anti")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices, small, written
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -69,11 +69,10 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
-            rows, keys, lines = [], [], []
+            rows, lines = [], []
             for raw in texts:
                 raw = raw or b""
                 rows.append(counters(raw))
-                keys.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
                 found: dict[int, int] = {}
                 for line in raw.split(b"\n"):
                     if n := len(line.split()):
@@ -81,12 +80,12 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
                         found[key] = found.get(key, 0) + n
                 lines.append([{"line": k, "words": n} for k, n in found.items()])
             line_type = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())]))
-            arrays = [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.array(lines, line_type)]
+            arrays = [batch.column(0), batch.column(1), batch.column(2), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.array(lines, line_type)]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
 
     kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, host_col)}
     schema = f"id {kinds[id_col]}, host {kinds[host_col]}, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:long,words:long>>"
-    return docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text")).mapInArrow(measure, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(measure, schema)
 
 
 def frequent_lines(rows: DataFrame, limits: Limits) -> DataFrame:
@@ -123,27 +122,22 @@ def judge(docs: DataFrame, limits: Limits | None = None, id_col: str = "doc_id",
 def clean(docs: DataFrame, limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", length_col: str | None = "n_chars") -> DataFrame:
     """The rows of ``docs`` that pass, without the lines above the limits; all columns stay, ``length_col``
     (if there is one) is the new length. Other rows and lines are unchanged."""
-    verdict = judge(docs, limits, id_col, text_col, host_col)
-    verdict = written(verdict.filter("kept").groupBy(id_col, "text_key").agg(F.first("frequent", ignorenulls=True).alias("frequent")), "verdict")
-    verdict = verdict.withColumnsRenamed({id_col: "__id", "text_key": "__key", "frequent": "__frequent"})
+    verdict = judge(docs, limits, id_col, text_col, host_col).filter(~F.col("kept") | F.col("frequent").isNotNull())
+    # only rows that go or lose lines are listed; texts move only if that list is too long to broadcast
+    verdict = written(verdict.groupBy(id_col, "text_key").agg(F.bool_and("kept").alias("__kept"), F.first("frequent", ignorenulls=True).alias("__frequent")), "verdict")
+    verdict = verdict.withColumnsRenamed({id_col: "__id", "text_key": "__key"})
     columns = docs.columns
 
-    def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, text_col):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([xxhash.xxh3_64_intdigest(raw or b"") - (1 << 63) for raw in texts], pa.int64())], names=[*columns, "__text_key"])
-
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, text_col):
             gone = batch.column(batch.schema.get_field_index("__frequent")).to_pylist()
-            kept = [raw if not lost else b"\n".join(x for x in raw.split(b"\n") if not x.strip() or line_key(x) not in set(lost)) for raw, lost in zip(texts, gone, strict=True)]
-            arrays = [pa.array(kept, pa.binary()).cast(pa.string()) if c == text_col else batch.column(i) for i, c in enumerate(columns)]
+            left = [raw if not lost else b"\n".join(x for x in raw.split(b"\n") if not x.strip() or line_key(x) not in lost) for raw, lost in zip(texts, map(set, (g or () for g in gone)), strict=True)]
+            arrays = [pa.array(left, pa.binary()).cast(pa.string()) if c == text_col else batch.column(i) for i, c in enumerate(columns)]
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    ddl = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    keyed = docs.mapInArrow(keys, f"{ddl(docs)}, `__text_key` long")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
-    joined = keyed.join(verdict, same).select(*columns, "__frequent")
-    out = joined.mapInArrow(cut, ddl(docs))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key"))
+    joined = docs.join(small(verdict), same, "left").filter(F.coalesce("__kept", F.lit(True))).select(*columns, "__frequent")
+    out = joined.mapInArrow(cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
     if length_col and length_col in columns:
         out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, lm_scoring, near_dup, oracles, packing, quality_rules, sharding, toxicity
+from . import decontaminate, html_extract, language_id, lm_scoring, near_dup, oracles, packing, quality_rules, sharding, toxicity, weak_quality
 from .common import id_remainder, read
 
 
@@ -50,6 +50,11 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, max_len=4096)
 
 
+def op7_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents from weak labels."""
+    return weak_quality.assess(read(spark, sf_dir, "documents"))
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return html_extract.extract(read(spark, sf_dir, "pages"), keep=["page_id", "url"])
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_pack": op6_pack,
+    "op7_weak_quality": op7_weak_quality,
     "op8_main_text": op8_main_text,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontaminate": op10_decontaminate,
