@@ -83,9 +83,15 @@ def normal_space(c: C) -> Column:
 
 
 def char_grams(c: C, n: int = 2) -> Column:
-    """Distinct n-character windows in order; a shorter text gives none."""
-    c = _col(c)
-    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: c.substr(i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    """Distinct n-character windows in order; a shorter text gives none.
+
+    The text is split once and its characters are zipped with themselves, so that an expression in place of a column
+    is not evaluated again for each window."""
+    chars = F.filter(F.split(_col(c), ""), lambda x: x != "")
+    out = chars
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(chars, k + 1, F.greatest(F.size(chars) - k, F.lit(0))), lambda a, b: F.concat(a, b))
+    return F.coalesce(F.array_distinct(F.slice(out, 1, F.greatest(F.size(chars) - (n - 1), F.lit(0)))), F.array().cast("array<string>"))
 
 
 def uni_bigrams(c: C) -> Column:
