@@ -89,8 +89,7 @@ def fill(singles: DataFrame, loads: list[int], n_shards: int) -> DataFrame:
             at += x * scale
             cuts.append(at)
         cut = F.array(*[F.lit(c) for c in cuts])
-        middle = F.col("before") + F.col("size") / 2
-        of_kind = F.size(F.filter(cut, lambda c, m=middle: c <= m))
+        of_kind = F.size(F.filter(cut, lambda c: c <= F.col("before") + F.col("size") / 2))
         got = held(lined.filter(F.col("class") == kind).select("size", of_kind.alias("label")), "label", n_shards)
         loads = [a + b for a, b in zip(loads, got, strict=True)]
         label = F.when(F.col("class") == kind, of_kind).otherwise(label)
