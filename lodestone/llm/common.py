@@ -42,7 +42,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Each batch in pieces of about ``most`` bytes of ``column`` (one row at least), with that
     column's values as ``bytes`` (or None)."""
     for batch in batches:
@@ -55,6 +55,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
             end = max(at + 1, int(np.searchsorted(size, before + most, side="right")))
             yield batch.slice(at, end - at), texts.slice(at, end - at).to_pylist()
             at = end
+        del batch, texts
+        pa.default_memory_pool().release_unused()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

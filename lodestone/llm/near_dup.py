@@ -96,7 +96,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
     """(id, n_shingles, set_a, set_b, bands): two hashes of the whole set, and the band hashes; empty sets: nulls."""
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, "text", 512 << 10):
+        for batch, texts in slices(batches, "text", 256 << 10):
             sets = [shingle_set(raw, shingle) for raw in texts]
             full = [i for i, s in enumerate(sets) if len(s)]
             marks: list = [None] * len(sets)

@@ -34,7 +34,7 @@ class _WordIds(dict):
 
     PLAIN = re.compile(rb"([A-Za-z]+)([.,!?;:|%&$#*()-]*)")
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 100_000):
         from tokenizers import Tokenizer
 
         super().__init__()
