@@ -102,3 +102,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, counted; else as it is, for a shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def least_ranked(df: DataFrame, rank: Column, n: int) -> DataFrame:
+    """At most n rows, those of the least ranks, one for each rank. Tasks send ranks, never the rows that do not stay."""
+    ranked = df.withColumn("__rank", rank)
+    last = ranked.select("__rank").distinct().orderBy("__rank").limit(n).agg(F.max("__rank")).first()[0]
+    return ranked.filter(F.col("__rank") <= last if last is not None else F.lit(False)).dropDuplicates(["__rank"]).orderBy("__rank").drop("__rank")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import least_ranked, slices, written
 
 
 @dataclass(frozen=True)
@@ -273,7 +273,7 @@ def baum_welch(encoded: DataFrame, vocab: Vocabulary) -> Hmm:
     how, context = vocab.settings, encoded.sparkSession.sparkContext
     hmm = Hmm.first(vocab)
     training = encoded.filter(~F.col("held_out"))
-    few = training.select("symbols", F.xxhash64("id", "row").alias("rank")).orderBy("rank").limit(how.warm_docs).select("symbols").collect()
+    few = least_ranked(training.select("id", "row", "symbols"), F.xxhash64("id", "row"), how.warm_docs).select("symbols").collect()
     warm = _symbols([r["symbols"] for r in few])
     if not warm:
         return hmm

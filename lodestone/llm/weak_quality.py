@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import least_ranked, slices, written
 from .quality_rules import counters
 
 BAD, NONE, GOOD = 0, 1, 2
@@ -182,7 +182,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
     voted = written(rows.mapInArrow(vote, f"id {kind}, key long, pattern int"), "votes")
     counts = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most 3 ** 10 rows
     model = fit_label_model(counts["pattern"].to_numpy(), counts["n"].to_numpy())
-    chosen = rows.select("text", F.xxhash64("id", "text").alias("rank")).orderBy("rank").limit(sample).toPandas()
+    chosen = least_ranked(rows, F.xxhash64("id", "text"), sample).select("text").toPandas()
     features = Features()
     raws = [(t or "").encode() for t in chosen["text"]]
     targets = model.posterior(np.array([pattern(votes(r)) for r in raws], np.int64))
