@@ -82,6 +82,22 @@ def test_curation(spark):
     assert got == {1: None, 2: "duplicate", 3: "known_hash", 4: "known_similar"}
 
 
+def test_split_and_near_duplicates_compare_rows_of_different_openings(spark):
+    body = "the quick brown fox jumps over the lazy dog while seven wizards mix a potion"
+    texts = [f"alpha one {body}", f"beta two {body}", None, "", "something else entirely", f"gamma three {body}!", f"alpha one {body}"]
+    rows = spark.createDataFrame([(i, "c", t, 10 - i) for i, t in enumerate(texts)] + [(9, None, f"alpha one {body}", 0)], "id long, cat string, text string, score long")
+    split = {r.id: r for r in curation.leakage_safe_split(rows, "id", "text", "cat").collect()}
+    assert len(split) == 8 and len({split[i].family for i in (0, 1, 5, 6)}) == 1 and len({split[i].split for i in (0, 1, 5, 6)}) == 1
+    assert split[2].family == split[3].family and len({split[i].family for i in (0, 2, 4, 9)}) == 4
+    assert sorted(r.id for r in curation.near_dup_by_score(rows, "id", "text", "score", threshold=0.85).collect()) == [0, 2, 4]
+    heads = {}
+    some = [(str(i), "g", f"{'ab' * (i % 7)}{'cdefghij' * (i % 5)}{i % 11}xyz") for i in range(120)]
+    grams = lambda t: {t[k : k + 2] for k in range(len(t) - 1)}
+    want = {k: heads.setdefault(next((h for h in heads if len(grams(heads[h]) & grams(t)) >= 0.72 * len(grams(heads[h]) | grams(t))), k), t) and next(h for h in heads if h == k or len(grams(heads[h]) & grams(t)) >= 0.72 * len(grams(heads[h]) | grams(t))) for k, _, t in some}
+    got = curation.heads_of(spark.createDataFrame(some, "key string, `group` string, text string"), [F.col("key").cast("int")], curation._Grams, 0.72, 8, 16)
+    assert {r.key: r.head for r in got.collect()} == want
+
+
 def test_relational(spark):
     w = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "k string, n long")
     assert {r.k: r.quota for r in relational.largest_remainder(w, "k", "n", 10).collect()} == {"a": 4, "b": 3, "c": 3}
