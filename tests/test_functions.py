@@ -59,6 +59,13 @@ def test_dense_and_fusion(spark):
     assert fused == [1, 2, 3]
 
 
+def test_dense_takes_any_number_of_queries(spark):
+    vectors = spark.range(0, 9000, 1, 2).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float"), F.lit(1).cast("float")).alias("embedding"))
+    near = retrieval.dense(vectors.filter("vec_id < 50"), vectors.filter("vec_id < 4200").withColumnRenamed("vec_id", "qid"), 2)
+    got = near.groupBy().agg(F.count(F.lit(1)), F.countDistinct("qid"), F.max("rank")).first()
+    assert tuple(got) == (8400, 4200, 2) and near.filter("rank = 1 AND qid > 0 AND vec_id <> 49").isEmpty()
+
+
 def test_links(spark):
     df = spark.createDataFrame([(1, "abcd ab"), (2, "a"), (3, None)], "id long, text string")
     aliases = spark.createDataFrame([("ab",), ("abc",), ("a",)], "alias string")
