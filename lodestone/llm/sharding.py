@@ -48,12 +48,13 @@ def held(df: DataFrame, label: str, n: int) -> list[int]:
     return [int(sizes.get(s) or 0) for s in range(n)]
 
 
-def propagate(members: DataFrame, n_shards: int, quota: float, rounds: int) -> DataFrame:
+def propagate(members: DataFrame, n_shards: int, quota: float) -> DataFrame:
     """Label propagation over ``members`` (node, group, size, label): the same rows with their last labels.
 
-    It ends when no request is granted, or after ``rounds``. Ties between shards go by a hash of
-    group and shard, so no shard is favoured."""
-    for _ in range(rounds):
+    It ends when no request is granted, and not before. Every granted move goes to a shard that holds at least as much
+    of the group, so the sum of the squares of what shards hold of groups grows until then. Ties between shards go by
+    a hash of group and shard, so no shard is favoured."""
+    while True:
         room = [quota - b for b in held(members, "label", n_shards)]
         weights = members.groupBy("group", "label").agg(F.sum("size").alias("weight"), F.max("size").alias("largest"))
         open_ = lookup(room, F.col("label")) >= F.col("largest")
@@ -69,8 +70,7 @@ def propagate(members: DataFrame, n_shards: int, quota: float, rounds: int) -> D
         granted = granted.select(F.col("node").alias("moved"), F.col("target").alias("new_label"))
         members = written(members.join(granted, F.col("node") == F.col("moved"), "left").select("node", "group", "size", F.coalesce("new_label", "label").alias("label"), F.col("moved").isNotNull().alias("has_moved")), "labels")
         if members.filter("has_moved").isEmpty():
-            break
-    return members.select("node", "group", "size", "label")
+            return members.select("node", "group", "size", "label")
 
 
 def fill(singles: DataFrame, loads: list[int], n_shards: int) -> DataFrame:
@@ -96,7 +96,7 @@ def fill(singles: DataFrame, loads: list[int], n_shards: int) -> DataFrame:
     return lined.select("node", "size", label.cast("int").alias("label"))
 
 
-def shard(docs: DataFrame, n_shards: int = 40, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with its shard: id, ``size`` (UTF-8 bytes and 16), ``text_crc32``, ``law`` ("bytes": sizes
     near equal), ``shard``, ``slot`` (gapless from 0 in the shard), ``grown_shard`` (null under this law), ``n_equal``
     (documents with this text).
@@ -119,7 +119,7 @@ def shard(docs: DataFrame, n_shards: int = 40, rounds: int = 12, id_col: str = "
     rows = written(rows.join(groups, same, "left").select("id", "size", "text_crc32", "node", "group", F.coalesce("n_equal", F.lit(1).cast("long")).alias("n_equal")), "linked")
     linked = rows.filter("group IS NOT NULL")
     start = written(linked.select("node", "group", "size", F.pmod(F.xxhash64("node"), F.lit(n_shards)).cast("int").alias("label")), "labels")
-    placed = propagate(start, n_shards, total / n_shards, rounds)
+    placed = propagate(start, n_shards, total / n_shards)
     filled = fill(rows.filter("group IS NULL").select("node", "size"), held(placed, "label", n_shards), n_shards)
     labels = placed.select("node", "label").unionByName(filled.select("node", "label")).withColumnsRenamed({"node": "n", "label": "shard"})
     out = written(rows.join(labels, F.col("node") == F.col("n")).drop("n", "group"), "shards")

@@ -79,6 +79,13 @@ def test_a_group_larger_than_a_shard_is_split_in_few(spark):
     assert sizes.max() <= 1.03 * sizes.mean() and got[got["n_equal"] > 1]["shard"].nunique() <= math.ceil(400 * 100 / sizes.mean()) + 1
 
 
+def test_a_hot_group_settles_however_many_rounds_it_takes(spark):
+    texts = ["x" * 84] * 2000 + [prose(i, 12) for i in range(4000)]
+    got = sharding.shard(docs_of(spark, texts), 40).toPandas()
+    needs = math.ceil(2000 * 100 / got.groupby("shard")["size"].sum().mean())
+    assert needs > 12 and got[got["n_equal"] > 1]["shard"].nunique() <= needs + 1
+
+
 def test_shards_edges(edges, nothing):
     got = sharding.shard(edges, 4)
     assert got.count() == edges.count() and got.filter("shard IS NULL OR slot IS NULL").count() == 0
