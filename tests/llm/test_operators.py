@@ -145,6 +145,14 @@ def test_toxicity_finds_planted_words_on_held_out_rows(spark):
     assert ((got.score >= 0.5) == (got.predicted == 1)).all() and got.score.between(0, 1).all()
 
 
+def test_threshold_is_that_of_the_true_class_shares():
+    r = np.random.default_rng(1)
+    z, y = np.concatenate([r.normal(0, 1, 9000), r.normal(2, 1, 1000)]), np.repeat([0, 1], [9000, 1000])
+    some = np.concatenate([np.arange(600), np.arange(9000, 9400)])  # one clean row for 15, one toxic for 2.5
+    whole, weighted, plain = toxicity._best_cut(z, y), toxicity._best_cut(z[some], y[some], (15.0, 2.5)), toxicity._best_cut(z[some], y[some])
+    assert abs(weighted - whole) < 0.4 < whole - plain
+
+
 def test_toxicity_edges(spark, edges, nothing):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(edges, none, F.lit(True))
