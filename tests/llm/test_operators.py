@@ -249,7 +249,26 @@ def test_packing_equals_the_tokenizer(spark, edges, nothing, data):
 
 
 def test_binary_lengths():
-    assert packing.binary_lengths(4096 * 2 + 5, 4096) == [4096, 4096, 4, 1] and packing.binary_lengths(1, 4096) == [1]
+    doc, start, length = packing.binary_lengths(np.array([4096 * 2 + 5, 1, 12]), 4096)
+    assert doc.tolist() == [0, 0, 0, 0, 1, 2, 2] and length.tolist() == [4096, 4096, 4, 1, 1, 8, 4] and start.tolist() == [0, 4096, 8192, 8196, 0, 0, 8]
+
+
+def test_letters_apart_is_proved_and_true():
+    import json
+
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(TOKENIZER)
+    definition = json.loads(tok.to_str())
+    assert packing.letters_stand_apart(definition) and not packing.letters_stand_apart(json.loads(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).to_str()))
+    definition["added_tokens"].append({"content": "abc"})
+    assert not packing.letters_stand_apart(definition)
+    r, words = random.Random(8), packing._WordIds(TOKENIZER, limit=4096)  # so small that generations change all the time
+    letters, ends = "abcdefgXYZÀÖØßéñöøÿ", "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~'<>0"
+    for _ in range(3000):
+        word = "".join(r.choice(letters) for _ in range(r.randint(0, 9))) + "".join(r.choice(ends) for _ in range(r.randint(0, 4))) + r.choice(["", "", "s", "e\u0301", "İ", "ς"])
+        if word:
+            assert list(struct.unpack(f"<{len(words[word.encode()]) // 4}I", words[word.encode()])) == tok.encode(word, add_special_tokens=False).ids, word
 
 
 # 7 -----------------------------------------------------------------------------------------------------------------
