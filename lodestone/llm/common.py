@@ -6,40 +6,98 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The contract's words: runs of anything but the ASCII blanks 0x20 and 0x09 to 0x0D.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+#: The sessions that wrote tables, with their paths; what is known of each table still in use.
+_SESSIONS: dict[int, tuple[SparkSession, list[str]]] = {}
+_KEPT: weakref.WeakKeyDictionary[DataFrame, Kept] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) gets one of its own."""
+    Only a local session without that setting (a test) gets one of its own; on a cluster it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, folder, True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written in the shared folder and read again.
+def _delete(spark: SparkSession, path: str) -> None:
+    """Deletes a written table, wherever Spark keeps it; a session that has ended is past that."""
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # noqa: BLE001  (the interpreter is going down, or the session is gone)
+        pass
 
-    It cuts lineage the way ``checkpoint()`` does, but columnar and compressed, and a
-    lost executor costs only the reading task, not the work behind the table."""
+
+@dataclass(frozen=True)
+class Kept:
+    """What is known of a written table: where it is, its rows, about how many bytes they take in memory, and what was
+    summed up over them as they were written."""
+
+    path: str
+    rows: int
+    size: int
+    sums: dict
+
+
+def written(df: DataFrame, name: str, **sums: Column) -> DataFrame:
+    """``df`` as a table written in the shared folder and read again; ``sums`` are aggregates taken on the way.
+
+    It cuts lineage the way ``checkpoint()`` does, but columnar and compressed, and a lost executor costs only the
+    reading task, not the work behind the table. Results read these tables as long as they are used, so they
+    are deleted when the driver's Python ends (``forget`` deletes one earlier)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    size = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        size = size + width(F.col(f"`{f.name}`"), f.dataType)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(size).alias("size"), *[c.alias(f"_{k}") for k, c in sums.items()]).write.option("compression", "zstd").parquet(path)
+    got = seen.get
+    _SESSIONS.setdefault(id(spark), (spark, []))[1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _KEPT[out] = Kept(path, got.get("rows") or 0, got.get("size") or 0, {k: got.get(f"_{k}") for k in sums})
+    return out
+
+
+def kept(df: DataFrame) -> Kept:
+    """What is known of a table that ``written`` made."""
+    return _KEPT[df]
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and that no later result reads."""
+    for table in tables:
+        if known := _KEPT.pop(table, None):
+            _delete(table.sparkSession, known.path)
+
+
+def _sweep() -> None:
+    for spark, paths in _SESSIONS.values():
+        for path in paths:
+            _delete(spark, path)
+
+
+atexit.register(_sweep)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -99,9 +157,60 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, counted; else as it is, for a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def width(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        size = F.octet_length(value) + 16
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType | T.BinaryType | T.ArrayType | T.StructType):
+        size = F.aggregate(value, F.lit(16).cast("long"), lambda n, x: n + width(x, kind.elementType).cast("long"))
+    elif isinstance(kind, T.ArrayType):
+        size = F.size(value) * 8 + 16
+    elif isinstance(kind, T.StructType):
+        size = F.lit(16)
+        for f in kind.fields:
+            size = size + width(value[f.name], f.dataType)
+    else:
+        size = F.lit(8)
+    return F.coalesce(size, F.lit(8))
+
+
+def small(df: DataFrame, rows: int = 2_000_000, most: int = 64 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and takes at most about ``most`` bytes; else as it
+    is, for a shuffle join. Of a written table both are known; any other is written first."""
+    if df not in _KEPT:
+        df = written(df, "small")
+    known = kept(df)
+    return F.broadcast(df) if known.rows <= rows and known.size <= most else df
+
+
+#: Rows of one key from which they are not dealt by it.
+HOT = 1_000_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: Column, n: str, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, which has each key once with the number ``n`` of left rows that it has about.
+
+    A right side that fits is broadcast. A longer one is joined by key but for its hottest keys: those of over ``HOT``
+    rows are few (together they can't have more than all rows), and are broadcast if they fit. The left side may be read
+    several times, so give it written."""
+    right = right if right in _KEPT else written(right, "right")
+    sent = small(right)
+    if sent is not right:
+        return left.join(sent, on, how)
+    hot = F.col(n) > HOT
+    top = written(right.filter(hot), "hot")
+    if not kept(top).rows:
+        return left.join(right, on, how)
+    top = small(top)
+    return left.join(top, on).unionByName(left.join(top, on, "left_anti").join(right.filter(~hot), on, how))
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores before it until no column of ``taken`` is called so."""
+    lower = {x.lower() for x in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
 
 
 def least_ranked(df: DataFrame, rank: Column, n: int) -> DataFrame:

@@ -1,22 +1,30 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame operations only.
 
-Windows as long as a benchmark item are taken where a document shares a shingle with it, one for
-each diagonal on which they agree: a window without a shared shingle has similarity 0, so none that
-could pass is left out. Each window gets a 64-bit SimHash of its words, weighted by their length.
-Fingerprints are cut into one block more than the radius has bits: two within the radius agree on a
-block at least, so an equality join on blocks finds all pairs within the radius. Pairs are verified
-by the weighted Jaccard similarity of their shingles.
+A window is a run of a document's words as long as a benchmark item (the whole text, if that is shorter). Two are
+compared by the weighted Jaccard similarity of their shingles. A window that reaches the wanted similarity must
+hold shingles of the item that weigh at least that share of the item. Every start with so much is taken, by a running sum over
+the places where a document has a shingle of the item, whatever their order there: no window that could pass is left out,
+and windows that can't pass are not built. Each window gets a 64-bit SimHash of its words. Fingerprints are cut
+into blocks; two within the radius have a block in which they differ by no more than radius / blocks bits, so the
+index lists for each item all values that near to each of its blocks, and an equality join finds all pairs
+within the radius. Pairs are verified on their full shingles.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import small, written
 
 SHINGLE = 5
 RADIUS = 15
+BLOCKS = 4
+#: A shingle's weight is its number of letters and digits, at most this.
+HEAVIEST = 65_535
 
 
 def words(text: Column) -> Column:
@@ -24,83 +32,151 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
-def gram_hashes(hashes: str, n: int) -> Column:
-    """Hashes of the n-word runs of an array of word hashes, one for each first word."""
-    out = F.col(hashes)
+def runs(values: str, n: int, joined) -> Column:
+    """``joined`` over each n neighbours of an array, one value for each first of them."""
+    out = F.col(values)
     for i in range(1, n):
-        out = F.zip_with(out, F.slice(hashes, i + 1, F.greatest(F.size(hashes) - i, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    return F.slice(out, 1, F.greatest(F.size(hashes) - (n - 1), F.lit(0)))
+        out = F.zip_with(out, F.slice(values, i + 1, F.greatest(F.size(values) - i, F.lit(0))), joined)
+    return F.slice(out, 1, F.greatest(F.size(values) - (n - 1), F.lit(0)))
+
+
+def gram_hashes(hashes: str, n: int) -> Column:
+    """Hashes of the n-word runs of an array of word hashes."""
+    return runs(hashes, n, lambda a, b: F.xxhash64(a, b))
+
 
+def gram_weights(lengths: str, n: int) -> Column:
+    """Weights of the n-word runs of an array of word lengths."""
+    return F.transform(runs(lengths, n, lambda a, b: a + b), lambda x: F.least(x, F.lit(HEAVIEST)).cast("long"))
 
-def fingerprint(window: str) -> Column:
-    """64-bit SimHash of an array of words: each word's hash votes on each bit, with the word's length as its weight."""
-    return F.expr(f"""aggregate(sequence(0, 63), 0L, (fp, b) -> fp | if(aggregate({window}, 0L, (v, w) ->
-        v + if((shiftright(xxhash64(w), b) & 1L) = 1L, length(w), -length(w))) > 0, shiftleft(1L, b), 0L))""")
 
+def fingerprint(hashes: str) -> Column:
+    """64-bit SimHash of an array of word hashes: a bit is set if over half of the words have it.
 
-def blocks(fp: str, radius: int) -> Column:
-    """The fingerprint's radius + 1 blocks: numbers of block and bits."""
-    n = radius + 1
+    Votes are summed several bits at once, in lanes of a long: eight lanes while a lane of eight bits can hold the
+    sum, else two."""
+
+    def votes(lane: int) -> str:
+        ones = sum(1 << at for at in range(0, 64, lane))
+        sums = f"transform(sequence(0, {lane - 1}), r -> aggregate({hashes}, 0L, (v, h) -> v + (shiftrightunsigned(h, r) & {ones}L)))"
+        return f"""transform(array({sums}), sums -> aggregate(sequence(0, 63), 0L, (fp, b) ->
+            fp | if((shiftrightunsigned(sums[b % {lane}], {lane} * int(b div {lane})) & {(1 << lane) - 1}L) * 2 > size({hashes}), shiftleft(1L, b), 0L)))[0]"""
+
+    return F.expr(f"if(size({hashes}) < 128, {votes(8)}, {votes(32)})")
+
+
+def blocks(fp: str, n: int = BLOCKS) -> Column:
+    """The fingerprint's n blocks: numbers of block and bits."""
     edges = [64 * i // n for i in range(n + 1)]
     return F.array(*[F.struct(F.lit(i).alias("block"), F.expr(f"shiftrightunsigned({fp}, {a}) & {(1 << (b - a)) - 1}L").alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
 
 
-def weighted_shingles(window: str, n: int = SHINGLE) -> Column:
-    """Shingles of n words (with fewer words the whole), each with the summed length of its words."""
-    return F.expr(f"""transform(sequence(1, greatest(size({window}) - {n - 1}, 1)), i ->
-        struct(array_join(slice({window}, i, {n}), ' ') AS s, length(array_join(slice({window}, i, {n}), '')) AS w))""")
+def probes(fp: str, radius: int, n: int = BLOCKS) -> Column:
+    """The fingerprint's blocks and all values within radius / n bits of each: every fingerprint within the radius has
+    one of them as its block."""
+    width = 64 // n
+    masks = [sum(1 << bit for bit in bits) for k in range(radius // n + 1) for bits in combinations(range(width), k)]
+    near = ", ".join(f"{m}L" for m in masks)
+    edges = [64 * i // n for i in range(n + 1)]
+    own = ", ".join(f"struct({i} AS block, shiftrightunsigned({fp}, {a}) & {(1 << (b - a)) - 1}L AS bits)" for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
+    return F.expr(f"flatten(transform(array({own}), b -> transform(array({near}), m -> struct(b.block AS block, b.bits ^ m AS bits))))")
 
 
-def weighted_jaccard(a: str, b: str) -> Column:
-    """Sum of the smaller over sum of the larger weights of the shingles of a and b, as multisets."""
-    return F.expr(f"""aggregate(
-        transform(array_distinct(concat({a}, {b})), x -> struct(
-            x.w * least(size(filter({a}, y -> y.s = x.s)), size(filter({b}, y -> y.s = x.s))) AS lo,
-            x.w * greatest(size(filter({a}, y -> y.s = x.s)), size(filter({b}, y -> y.s = x.s))) AS hi)),
-        struct(0L AS lo, 0L AS hi), (t, x) -> struct(t.lo + x.lo AS lo, t.hi + x.hi AS hi), t -> t.lo / t.hi)""")
+def keys(grams: str, weights: str) -> Column:
+    """A multiset of weighted shingles as a set of longs: a hash of the shingle and its how-manieth occurrence, with
+    the weight in the low 16 bits. Occurrences are counted only where shingles repeat."""
+    seen = f"if(size(array_distinct({grams})) = size({grams}), array_repeat(1, size({grams})), transform({grams}, (g, i) -> size(filter(slice({grams}, 1, i + 1), y -> y = g))))"
+    return F.expr(f"zip_with(zip_with({grams}, {weights}, (g, w) -> struct(g AS g, w AS w)), {seen}, (x, k) -> (xxhash64(x.g, k) & -65536L) | x.w)")
 
 
-def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Documents that hold a benchmark item: id, item id, ``start`` (word), ``n_words``, ``hamming``, ``similarity``; for
-    each document and item the most similar window (the first of equals).
+def weight(of: str) -> Column:
+    return F.expr(f"aggregate({of}, 0L, (s, x) -> s + (x & 65535L))")
+
 
-    A text or item without a word, or null, matches nothing. Equal items are found each. Repeated rows of one
-    document give one row; equal texts under other ids are found each. Empty tables give an empty result."""
+def read_items(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    """(item, len, n, i_hashes, i_grams, i_fp, i_keys, total) of the items with a word; n: words of a shingle."""
     items = benchmark.select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("i_words")).filter("size(i_words) > 0")
-    items = written(items.withColumns({"i_hashes": F.transform("i_words", lambda w: F.xxhash64(w)), "len": F.size("i_words"), "i_fp": fingerprint("i_words"), "i_shingles": weighted_shingles("i_words")}), "items")
-    lengths = sorted(r[0] for r in items.select(F.least(F.col("len"), F.lit(SHINGLE)).alias("n")).distinct().collect())
+    items = items.select("item", F.size("i_words").alias("len"), F.transform("i_words", lambda w: F.xxhash64(w)).alias("i_hashes"), F.transform("i_words", lambda w: F.length(w)).alias("i_lengths"))
+    # as gram_hashes and gram_weights, for a number of words that differs by row
+    grams = F.expr("transform(sequence(1, len - n + 1), i -> aggregate(slice(i_hashes, i + 1, n - 1), i_hashes[i - 1], (a, b) -> xxhash64(a, b)))")
+    weights = F.expr(f"transform(sequence(1, len - n + 1), i -> cast(least(aggregate(slice(i_lengths, i, n), 0, (a, b) -> a + b), {HEAVIEST}) AS long))")
+    items = items.withColumn("n", F.least("len", F.lit(SHINGLE))).withColumns({"i_grams": grams, "i_weights": weights, "i_fp": fingerprint("i_hashes")})
+    items = items.withColumn("i_keys", keys("i_grams", "i_weights"))
+    return written(items.select("item", "len", "n", "i_grams", "i_weights", "i_fp", "i_keys", weight("i_keys").alias("total")), "items")
+
+
+def window_starts(hashed: DataFrame, items: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(k_doc, k_hash, len, start, room) of the windows of n-word shingles that could be similar to an item; ``room``:
+    the most that such a window's shingles can weigh.
+
+    H(start), the weight of the places in a window where the text has a shingle of the item, goes up where a place
+    comes in at the window's end and down where it leaves at the start: a running sum over these events."""
+    grams = items.filter(F.col("n") == n).select("item", "len", "total", F.explode(F.zip_with("i_grams", "i_weights", lambda g, w: F.struct(g.alias("gram"), w.alias("w")))).alias("g"))
+    grams = small(grams.select("item", "len", "total", "g.gram", "g.w").dropDuplicates(["item", "gram"]))
+    hits = hashed.select("k_doc", "k_hash", "k_row", F.size("hashes").alias("n_words"), F.posexplode(gram_hashes("hashes", n)).alias("pos", "gram")).join(grams, "gram")
+    text_item = ["k_doc", "k_hash", "k_row", "item"]
+    some = hits.withColumn("held", F.sum("w").over(W.partitionBy(*text_item))).filter(F.col("held") >= similarity * F.col("total"))
+    places = F.col("len") - (n - 1)
+    events = some.withColumn("event", F.explode(F.array(F.struct((F.col("pos") - places + 1).alias("at"), F.col("w").alias("by")), F.struct((F.col("pos") + 1).alias("at"), (-F.col("w")).alias("by")))))
+    line = W.partitionBy(*text_item).orderBy("event.at")
+    stretch = events.select(*text_item, "len", "total", "n_words", F.col("event.at").alias("at"), F.sum("event.by").over(line).alias("h"), F.lead("event.at").over(line).alias("next"))
+    first, last = F.greatest("at", F.lit(0)), F.least(F.col("next") - 1, F.greatest(F.col("n_words") - F.col("len"), F.lit(0)))
+    stretch = stretch.filter((F.col("h") >= similarity * F.col("total")) & (first <= last))
+    starts = stretch.select("k_doc", "k_hash", "len", F.explode(F.sequence(first, last)).alias("start"), (F.col("h") * (1 + similarity) / similarity - F.col("total")).alias("room"))
+    return starts.groupBy("k_doc", "k_hash", "len", "start").agg(F.max("room").alias("room"))
+
+
+def seeded_windows(docs: DataFrame, items: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame | None:
+    """(k_doc, k_hash, len, start, n_words, fp, keys, weight): all windows that could be similar to an item; None without items."""
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    key = [F.col("doc").alias("k_doc"), F.xxhash64("text").alias("k_hash")]
-    hashed = texts.select(*key, F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+    # a text is named by its id and hash, a row of it by its number
+    hashed = texts.select(F.col("doc").alias("k_doc"), F.xxhash64("text").alias("k_hash"), F.monotonically_increasing_id().alias("k_row"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
     found = None
-    for n in lengths:
-        grams = items.filter(F.least(F.col("len"), F.lit(SHINGLE)) == n).select("item", "len", F.posexplode(gram_hashes("i_hashes", n)).alias("i_pos", "gram"))
-        grams = small(written(grams, "grams"))
-        hits = hashed.select("k_doc", "k_hash", F.posexplode(gram_hashes("hashes", n)).alias("pos", "gram")).join(grams, "gram")
-        hits = hits.select("k_doc", "k_hash", "item", "len", F.greatest(F.col("pos") - F.col("i_pos"), F.lit(0)).alias("start"))
-        found = hits if found is None else found.unionByName(hits)
-    schema = [F.col("doc").alias(id_col), F.col("item").alias(item_col), "start", "n_words", "hamming", "similarity"]
-    if found is None:
-        found = texts.limit(0).join(items.limit(0)).select(*key, "item", "len", F.lit(0).alias("start"))
-    starts = written(found.groupBy("k_doc", "k_hash", "len").agg(F.sort_array(F.collect_set("start")).alias("starts")), "hits")
-    wanted = starts.groupBy("k_doc", "k_hash").agg(F.collect_list(F.struct("len", "starts")).alias("wanted"))
-    match = F.col("doc").eqNullSafe(F.col("k_doc")) & (F.xxhash64("text") == F.col("k_hash"))
-    opened = texts.join(small(wanted), match).dropDuplicates(["k_doc", "k_hash"]).select("doc", words(F.col("text")).alias("d_words"), F.explode("wanted").alias("want"))
-    windows = opened.select("doc", F.col("want.len").alias("len"), F.explode("want.starts").alias("start"), "d_words")
-    windows = windows.select("doc", "len", "start", F.slice("d_words", F.col("start") + 1, F.col("len")).alias("window")).filter("size(window) > 0")
-    windows = written(windows.withColumn("fp", fingerprint("window")), "windows")
-    left = windows.select("*", F.inline(blocks("fp", radius)))
-    right = items.select("item", "len", "i_fp", "i_shingles", F.inline(blocks("i_fp", radius)))
-    near = left.join(small(right), ["len", "block", "bits"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("i_fp")))).filter(F.col("hamming") <= radius)
-    near = near.dropDuplicates(["doc", "start", "len", "item"])
-    sure = near.withColumn("shingles", weighted_shingles("window")).withColumn("similarity", weighted_jaccard("shingles", "i_shingles")).filter(F.col("similarity") >= similarity)
-    best = sure.groupBy("doc", "item").agg(F.max(F.struct("similarity", -F.col("start"), F.size("window").alias("n_words"), "hamming")).alias("b"))
-    best = best.select("doc", "item", (-F.col("b.col2")).alias("start"), F.col("b.n_words").alias("n_words"), F.col("b.hamming").alias("hamming"), F.round("b.similarity", 6).alias("similarity"))
-    return best.select(*schema)
-
-
-def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` without those that hold a benchmark item; all columns stay."""
-    leaks = find(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("__leak")).distinct()
-    leaks = written(leaks, "leaks")
-    return docs.join(small(leaks), F.col(id_col).eqNullSafe(F.col("__leak")), "left_anti")
+    for n in sorted(r[0] for r in items.select("n").distinct().collect()):  # at most SHINGLE
+        starts = window_starts(hashed, items, n, similarity)
+        wanted = starts.groupBy("k_doc", "k_hash").agg(F.collect_list(F.struct("len", "start", "room")).alias("wanted"))
+        match = F.col("doc").eqNullSafe(F.col("k_doc")) & (F.xxhash64("text") == F.col("k_hash"))
+        opened = texts.join(small(wanted), match).select("k_doc", "k_hash", words(F.col("text")).alias("d_words"), "wanted")
+        opened = opened.select("k_doc", "k_hash", F.transform("d_words", lambda w: F.xxhash64(w)).alias("hashes"), F.transform("d_words", lambda w: F.length(w)).alias("lengths"), "wanted")
+        opened = opened.select("k_doc", "k_hash", "hashes", gram_hashes("hashes", n).alias("grams"), gram_weights("lengths", n).alias("weights"), F.explode("wanted").alias("want"))
+        begin, places = F.col("want.start") + 1, F.col("want.len") - (n - 1)
+        windows = opened.select("k_doc", "k_hash", "want.*", F.slice("hashes", begin, F.col("want.len")).alias("hashes"), F.slice("grams", begin, places).alias("grams"), F.slice("weights", begin, places).alias("weights"))
+        windows = windows.withColumn("weight", F.aggregate("weights", F.lit(0).cast("long"), lambda s, x: s + x)).filter(F.col("weight") <= F.col("room"))
+        windows = windows.select("k_doc", "k_hash", "len", "start", F.size("hashes").alias("n_words"), fingerprint("hashes").alias("fp"), keys("grams", "weights").alias("keys"), "weight")
+        found = windows if found is None else found.unionByName(windows)
+    return None if found is None else written(found, "windows")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, similarity: float, radius: int, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """(k_doc, k_hash, item, start, n_words, hamming, similarity): all windows within the radius and similar to an item."""
+    items = read_items(benchmark, item_col, item_text)
+    windows = seeded_windows(docs, items, similarity, id_col, text_col)
+    if windows is None:
+        kind = docs.schema[id_col].dataType.simpleString()
+        return docs.sparkSession.createDataFrame([], f"k_doc {kind}, k_hash long, item {items.schema['item'].dataType.simpleString()}, start int, n_words int, hamming int, similarity double")
+    prints = windows.select("len", "fp").distinct().select("len", "fp", F.inline(blocks("fp")))
+    index = items.select("item", "len", "i_fp", F.inline(probes("i_fp", radius)))
+    near = prints.join(index, ["len", "block", "bits"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("i_fp")))).filter(F.col("hamming") <= radius)
+    near = near.select("len", "fp", "item", "hamming").distinct()
+    pairs = windows.join(small(near), ["len", "fp"]).join(small(items.select("item", "i_keys", "total")), "item")
+    shared = F.expr("aggregate(array_intersect(keys, i_keys), 0L, (s, x) -> s + (x & 65535L))")
+    pairs = pairs.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.col("weight") + F.col("total") - F.col("shared")))
+    return pairs.filter(F.col("similarity") >= similarity).select("k_doc", "k_hash", "item", "start", "n_words", "hamming", "similarity")
+
+
+def find(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Documents that hold a benchmark item: id, item id, ``start`` (word), ``n_words``, ``hamming``, ``similarity``; for
+    each document and item the most similar window (the first of equals).
+
+    A text or item without a word, or null, matches nothing. Equal items are found each. Rows of one id are one
+    document, whatever their texts; equal texts under other ids are found each. Empty tables give an empty result."""
+    found = matches(docs, benchmark, similarity, radius, id_col, text_col, item_col, item_text)
+    best = found.groupBy("k_doc", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"), "n_words", "hamming")).alias("b"))
+    return best.select(F.col("k_doc").alias(id_col), F.col("item").alias(item_col), (-F.col("b.before")).alias("start"), "b.n_words", "b.hamming", F.round("b.similarity", 6).alias("similarity"))
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those whose text holds a benchmark item; all columns stay, whatever their names."""
+    leaks = matches(docs, benchmark, similarity, radius, id_col, text_col, item_col, item_text).select("k_doc", "k_hash").distinct()
+    same = F.col(f"doc.{id_col}").eqNullSafe(F.col("k_doc")) & (F.xxhash64(f"doc.{text_col}") == F.col("k_hash"))
+    return docs.select(F.struct("*").alias("doc")).join(small(leaks), same, "left_anti").select("doc.*")

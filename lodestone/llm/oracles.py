@@ -3,7 +3,7 @@
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def quality_rules(table: str = "documents", min_words: int = 50, repeat: float = 0.5, line_docs: int = 100, line_share: float = 0.08, left: float = 0.5) -> str:
+def quality_rules(table: str = "documents", min_words: int = 50, repeat: float = 0.5, line_docs: int = 4, line_share: float = 0.08, left: float = 0.5) -> str:
     """The verdicts of the quality rules on ``table``; lines are compared as text, not by hash."""
     return rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM {table}),
@@ -13,9 +13,9 @@ p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws)
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM p),
 r AS (SELECT doc_id, count(DISTINCT pos) AS n_repeat FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS pos FROM g WHERE n > 1) GROUP BY doc_id),
 l AS (SELECT doc_id, source, text, unnest(list_transform(ls, lambda x: translate(array_to_string(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> ''), ' '), '{UPPER}', '{LOWER}'))) AS line FROM w),
-h AS (SELECT source, count(DISTINCT text) AS host_docs FROM w GROUP BY source),
+h AS (SELECT source, count(DISTINCT doc_id) AS host_docs FROM w GROUP BY source),
 f AS (SELECT l.source, line FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, line
-      HAVING count(DISTINCT text) > {line_docs} AND count(DISTINCT text) > {line_share} * max(host_docs)),
+      HAVING count(DISTINCT doc_id) > {line_docs} AND count(DISTINCT doc_id) > {line_share} * max(host_docs)),
 c AS (SELECT doc_id, sum(len(string_split(l.line, ' '))) AS lost FROM l JOIN f ON l.line = f.line AND l.source IS NOT DISTINCT FROM f.source GROUP BY doc_id),
 o AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
       CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
@@ -24,5 +24,5 @@ o AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
       CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost, 0) AS BIGINT) AS n_frequent_words
       FROM w LEFT JOIN r USING (doc_id) LEFT JOIN c USING (doc_id))
 SELECT *, n_words < {min_words} OR n_repeat_words > {repeat} * n_words AS base_failed,
-  NOT (n_words < {min_words} OR n_repeat_words > {repeat} * n_words) AND n_words - n_frequent_words >= {left} * n_words AS kept
+  NOT (n_words < {min_words} OR n_repeat_words > {repeat} * n_words) AND n_words - n_frequent_words >= greatest({left} * n_words, {min_words}) AS kept
 FROM o"""

@@ -1,5 +1,7 @@
 import collections
+import dataclasses
 import math
+import os
 import random
 import struct
 import zlib
@@ -8,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, html_extract, labelled_pages, language_id, lm_scoring, near_dup, packing, quality_rules, sharding, toxicity, weak_quality
+from lodestone.llm import common, decontaminate, html_extract, labelled_pages, language_id, lm_scoring, near_dup, packing, quality_rules, sharding, toxicity, weak_quality
 from lodestone.llm.common import id_remainder, numbered
 
 from .conftest import prose
@@ -39,9 +41,43 @@ def test_quality_rules_remove_frequent_lines_and_depleted_documents(spark):
     assert all(r.n_chars == len(r.text) for r in cleaned.values()) and cleaned[23].text == texts[23]
 
 
-def test_equal_texts_of_a_host_count_once(spark):
+def test_equal_texts_of_a_host_count_each_unless_asked(spark):
     docs = docs_of(spark, [prose(1, 80)] * 50)
-    assert quality_rules.judge(docs, quality_rules.Limits(line_docs=3, line_share=0.0)).filter("kept").count() == 50
+    limits = quality_rules.Limits(line_docs=3, line_share=0.0)
+    assert quality_rules.judge(docs, limits).filter("kept").count() == 0
+    assert quality_rules.judge(docs, dataclasses.replace(limits, equal_texts_once=True)).filter("kept").count() == 50
+    assert quality_rules.judge(docs.withColumn("doc_id", F.lit(7)), limits).filter("kept").count() == 50
+
+
+def test_verdicts_are_by_host_and_helper_names_do_not_clash(spark):
+    line, own = prose(5, 30), prose(6, 30)
+    rows = [(i, f"{line}\n{prose(i, 90)}", "a") for i in range(9)] + [(20, f"{line}\n{own}", "a"), (20, f"{line}\n{own}", "b"), (21, prose(21, 80), "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("x") for c in ("__kept", "kept", "frequent", "host", "text_key", "doc", "id")})
+    got = {(r.doc_id, r.source): r.text for r in quality_rules.clean(docs, quality_rules.Limits(line_docs=3)).collect()}
+    assert (20, "a") not in got and got[20, "b"] == f"{line}\n{own}" and got[0, "a"] == prose(0, 90)
+    assert quality_rules.clean(docs).columns == docs.columns
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    each = spark.createDataFrame([(i, "h" if i % 2 else None, i % 5) for i in range(100)], "row long, host string, line long")
+    often = spark.createDataFrame([("h", 1, 50), (None, 2, 5), ("h", 3, 5)], "of_host string, of_line long, n long")
+    on = F.col("host").eqNullSafe(F.col("of_host")) & (F.col("line") == F.col("of_line"))
+    joined = lambda how: sorted(map(str, common.join_counted(each, often, on, "n", how).collect()))
+    want = {how: joined(how) for how in ("inner", "left")}
+    monkeypatch.setattr(common, "small", lambda df: df)
+    monkeypatch.setattr(common, "HOT", 10)
+    assert {how: joined(how) for how in want} == want and len(want["inner"]) == 30 and len(want["left"]) == 100
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_quality_rules_act_at_every_size(spark, data, size):
+    """Removed lines occur in all tables, so their SQL proves more than the counters; depleted documents do in the larger."""
+    folder = os.path.join(os.path.dirname(data), size)
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    got = quality_rules.judge(spark.read.parquet(f"{folder}/documents.parquet"))
+    assert got.filter("n_frequent_words > 0").count() > 100
+    assert size == "sf0.01" or got.filter("NOT base_failed AND NOT kept").count() > 0
 
 
 def test_counters():
@@ -207,6 +243,19 @@ def test_near_duplicates_equal_brute_force(spark):
     assert len(set(want)) > 20
 
 
+def test_components_of_paths_and_stars(spark):
+    links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 200), (5, 5)]
+    r = random.Random(4)
+    tangle = [(1000 + r.randrange(90), 1000 + r.randrange(90)) for _ in range(70)]
+    root = {i: i for i in range(1000, 1090)}
+    for _ in root:
+        for a, b in tangle:
+            root[a] = root[b] = min(root[a], root[b])
+    found = near_dup.components(spark.createDataFrame(links + tangle, "a long, b long")).collect()
+    want = {i: 0 for i in range(1, 61)} | {i: 100 for i in range(101, 140)} | {201: 200} | {a: b for a, b in root.items() if a != b}
+    assert {r.a: r.b for r in found} == want and len(found) == len(want)
+
+
 def test_super_minhash_estimates_similarity():
     r = np.random.default_rng(1)
     a = np.unique(r.integers(0, 1 << 62, 400).astype(np.uint64))
@@ -219,10 +268,49 @@ def test_super_minhash_estimates_similarity():
 
 def test_near_duplicates_edges(edges, nothing):
     got = {r.doc_id: r for r in near_dup.near_duplicates(edges).collect()}
-    assert set(got) == set(range(11)) and got[6].component_id == 5 and got[0].n_shingles == 0 and got[0].kept
+    assert set(got) == {*range(11), None} and got[None].kept and got[None].component_id is None and got[6].component_id == 5 and got[0].n_shingles == 0 and got[0].kept
     kept = near_dup.keep_one(edges)
     assert kept.columns == edges.columns and kept.filter("doc_id IS NULL").count() == 2 and kept.filter("doc_id = 6").count() == 0
+    assert near_dup.near_duplicates(edges).filter("doc_id IS NULL").count() == 2
     assert near_dup.near_duplicates(nothing).count() == 0
+    with pytest.raises(TypeError):
+        near_dup.near_duplicates(edges.withColumn("doc_id", F.lit("x")))
+
+
+def test_near_duplicates_of_one_id_with_two_texts(spark):
+    """Whichever text stands for the id, its links are those of that text; the other's documents are not lost."""
+    for seed in range(2):
+        a, b = prose(seed, 90), prose(seed + 50, 90)
+        rows = [(1, a), (1, b), (1, b), (2, a + " end"), (3, b + " end"), (4, a), (5, b)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("__gone", "gone", "doc", "id", "node")})
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, shingle=4).collect()}
+        assert got in ({1: 1, 2: 1, 4: 1, 3: 3, 5: 3}, {1: 1, 3: 1, 5: 1, 2: 2, 4: 2})
+        kept = near_dup.keep_one(docs, shingle=4)
+        assert kept.columns == docs.columns and kept.count() == 4
+
+
+def test_long_sets_are_cut_into_blocks_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", 1 << 14)
+    monkeypatch.setattr(near_dup, "FEW", 0)
+    r, base, texts = random.Random(2), prose(4, 900).split(), []
+    for _ in range(40):
+        words = list(base)
+        for _ in range(r.randint(5, 40)):
+            words[r.randrange(900)] = f"w{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    want, _ = brute_components(texts)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs_of(spark, texts), shingle=4).collect()}
+    assert [got[i] for i in range(40)] == want and 1 < len(set(want)) < 40
+
+
+def test_nothing_near_is_dropped_by_its_signature():
+    r = np.random.default_rng(5)
+    marks = r.integers(0, 256, (50, 252)).astype(np.uint8)
+    marks[1, :200] = marks[0, :200]
+    groups, probe = np.arange(50), np.ones(50, bool)
+    assert np.flatnonzero(near_dup.with_neighbours(groups, probe, marks, 0.65)).tolist() == [0, 1]
+    groups[1] = 0
+    assert not near_dup.with_neighbours(groups, probe, marks, 0.65).any()
 
 
 # 6 -----------------------------------------------------------------------------------------------------------------
@@ -382,60 +470,100 @@ def test_lm_edges(edges, nothing):
 # 10 ----------------------------------------------------------------------------------------------------------------
 
 
+def plain(text):
+    return "".join(c.lower() if c.isalnum() else " " for c in text or "").split()
+
+
+def weighted_similarity(a, b):
+    """Weighted Jaccard similarity of the five-word shingles of two word lists, as multisets."""
+    weights = lambda ws: collections.Counter(" ".join(ws[k : k + 5]) for k in range(max(1, len(ws) - 4)))
+    a, b = weights(a), weights(b)
+    w = lambda s: len(s.replace(" ", ""))
+    return sum(w(s) * min(a[s], b[s]) for s in a | b) / sum(w(s) * max(a[s], b[s]) for s in a | b)
+
+
+def leaks_by_brute_force(texts, items):
+    """{(text, item): best similarity of any window} of those at 0.8 or more."""
+    found = {}
+    for i, t in enumerate(texts):
+        d = plain(t)
+        for k, item in enumerate(items):
+            b = plain(item)
+            if b and d:
+                best = max(weighted_similarity(d[s : s + len(b)], b) for s in range(max(1, len(d) - len(b) + 1)))
+                if best >= 0.8:
+                    found[i, k] = best
+    return found
+
+
 def test_decontamination_equals_brute_force(spark):
     r = random.Random(9)
-    items = [prose(100 + i, 20 + 6 * i) for i in range(8)] + ["three little words", None, "", "!!!"]
+    items = [prose(100 + i, 20 + 6 * i) for i in range(8)] + ["three little words", None, "", "!!!", " ".join([prose(3, 9)] * 4), prose(200, 300)]
     texts = []
-    for i in range(80):
+    for i in range(140):
         words = prose(500 + i, 60).split()
-        kind = i % 5
+        kind = i % 10
         if kind:
-            item = items[i % 8].split()
-            if kind == 2:
+            item = items[i % 8 if i % 14 < 8 else i % 14].split() if items[i % 8 if i % 14 < 8 else i % 14] else []
+            half, third = len(item) // 2, len(item) // 3
+            if kind == 2 and item:
                 item[r.randrange(len(item))] = "changed"
             if kind == 3:
-                item = item[: len(item) // 2]
+                item = item[:half]
             if kind == 4:
                 item = [w.upper() + "," for w in item]
-            at = r.randrange(len(words))
+            if kind == 5:  # halves in another order
+                item = item[half:] + item[:half]
+            if kind == 6:  # thirds in another order
+                item = item[2 * third :] + item[third : 2 * third] + item[:third]
+            if kind == 7:  # a word put in
+                item = item[:third] + ["inserted"] + item[third:]
+            if kind == 8:  # twice, and once more with a gap
+                item = item + item + item[:half] + ["one", "two"] + item[half:]
+            if kind == 9:  # the end of the text, a little cut
+                item, words = item[: len(item) - len(item) // 20], words[:30]
+            at = r.randrange(len(words)) if kind != 9 else len(words)
             words[at:at] = item
         texts.append(" ".join(words))
-    texts += ["x three little, words y", items[0], None, ""]
-
-    def weights(ws):
-        return collections.Counter(" ".join(ws[k : k + 5]) for k in range(max(1, len(ws) - 4)))
-
-    def similarity(a, b):
-        a, b = weights(a), weights(b)
-        w = lambda s: len(s.replace(" ", ""))
-        return sum(w(s) * min(a[s], b[s]) for s in a | b) / sum(w(s) * max(a[s], b[s]) for s in a | b)
-
-    plain = lambda t: "".join(c.lower() if c.isalnum() else " " for c in t or "").split()
-    want = set()
-    for i, t in enumerate(texts):
-        d = plain(t)
-        for k, item in enumerate(items):
-            b = plain(item)
-            if b and d and max(similarity(d[s : s + len(b)], b) for s in range(max(1, len(d) - len(b) + 1))) >= 0.8:
-                want.add((i, k))
+    texts += ["x three little, words y", items[0], None, "", items[13], " ".join(items[13].split()[:290])]
+    want = leaks_by_brute_force(texts, items)
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs_of(spark, texts), bench).collect()}
-    assert got == want and len(want) >= 32
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find(docs_of(spark, texts), bench).collect()}
+    assert set(got) == set(want) and len(want) >= 60
+    assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
+    assert {i for i, _ in want if i % 10 in (5, 6)}
     kept = {r.doc_id for r in decontaminate.remove(docs_of(spark, texts), bench).collect()}
     assert kept == set(range(len(texts))) - {i for i, _ in want}
 
 
-def test_blocks_guarantee_the_radius(spark):
+def test_leaks_of_one_id_with_two_texts(spark):
+    item = prose(1, 40)
+    docs = docs_of(spark, [prose(2, 90), prose(3, 20) + " " + item, item, prose(4, 50)]).withColumn("doc_id", F.lit(7)).withColumns({c: F.lit("x") for c in ("__leak", "k_doc", "k_hash", "doc", "item")})
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.similarity) for r in decontaminate.find(docs, bench).collect()) == [(7, 1, 1.0), (7, 2, 1.0)]
+    assert sorted(r.text for r in decontaminate.remove(docs, bench).collect()) == sorted([prose(2, 90), prose(4, 50)])
+
+
+def test_fingerprint_equals_votes(spark):
+    r = random.Random(3)
+    rows = [(k, [r.getrandbits(64) - (1 << 63) for _ in range(n)]) for k, n in enumerate([1, 2, 7, 254, 255, 256, 300, 700])]
+    got = {x.k: x.fp for x in spark.createDataFrame(rows, "k int, h array<long>").select("k", decontaminate.fingerprint("h").alias("fp")).collect()}
+    for k, hashes in rows:
+        want = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+        assert got[k] & ((1 << 64) - 1) == want
+
+
+def test_probes_guarantee_the_radius(spark):
     r = random.Random(1)
     rows = []
-    for i in range(50):
-        a = r.getrandbits(63)
+    for i in range(60):
+        a = r.getrandbits(64)
         b = a
-        for bit in r.sample(range(63), 15):
+        for bit in r.sample(range(64), 15):
             b ^= 1 << bit
-        rows.append((i, a, b))
+        rows.append((i, a - (1 << 63), b - (1 << 63)))
     df = spark.createDataFrame(rows, "k long, a long, b long")
-    assert df.filter(F.arrays_overlap(decontaminate.blocks("a", 15), decontaminate.blocks("b", 15))).count() == 50
+    assert df.filter(F.arrays_overlap(decontaminate.blocks("a"), decontaminate.probes("b", 15))).count() == 60
 
 
 def test_decontamination_edges(spark, edges, nothing):
