@@ -213,8 +213,22 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
-def least_ranked(df: DataFrame, rank: Column, n: int) -> DataFrame:
-    """At most n rows, those of the least ranks, one for each rank. Tasks send ranks, never the rows that do not stay."""
+def least_ranked(df: DataFrame, rank: Column, n: int, size: Column, most: int = 64 << 20) -> DataFrame:
+    """At most n rows of together at most ``most`` bytes by ``size``, those of the least ranks (even hashes), one for
+    each rank. Tasks send ranks and sizes, never the rows that do not stay, and of those only the part of the ranks that
+    should hold n: that part is widened if many rows have equal ranks."""
     ranked = df.withColumn("__rank", rank)
-    last = ranked.select("__rank").distinct().orderBy("__rank").limit(n).agg(F.max("__rank")).first()[0]
+    part = min(1.0, 8 * n / max(df.count(), 1))
+    while True:
+        low = ranked if part >= 1 else ranked.filter(F.col("__rank") <= int(-(2**63) + part * 2**64))
+        got = low.groupBy("__rank").agg(F.max(size).cast("long").alias("size")).orderBy("__rank").limit(n).collect()
+        if len(got) >= n or part >= 1:
+            break
+        part = min(1.0, 8 * part)
+    total, last = 0, None
+    for r in got:
+        total += r["size"] or 0
+        if total > most:
+            break
+        last = r["__rank"]
     return ranked.filter(F.col("__rank") <= last if last is not None else F.lit(False)).dropDuplicates(["__rank"]).orderBy("__rank").drop("__rank")

@@ -3,8 +3,8 @@
 Word counts of the whole training part give the base model. The hidden Markov model emits symbols: the most
 frequent words, an end mark, and one symbol for each class of other words (by a hash of their endings); a class
 spreads its mass over its words by their counts, so every word has a probability and the tables that the tasks
-need stay bounded while the counts grow with the corpus. Baum-Welch passes read all training documents: tasks sum
-expected counts, Spark adds them up, the driver normalises. Scores are exact sequence likelihoods by the
+need stay bounded while the counts grow with the corpus. Baum-Welch passes read all training documents whole: tasks sum
+expected counts, Spark adds them up, the driver normalises, until the likelihood hardly grows. Scores are exact sequence likelihoods by the
 scaled forward recursion over whole texts.
 
 Counts of words outside the bounded table are fetched by a join on the word's hash and summed by document.
@@ -28,17 +28,18 @@ from .common import least_ranked, slices, written
 @dataclass(frozen=True)
 class Settings:
     """known: words whose counts go to the tasks; words: those that are symbols; classes: of all other words.
-    chunk: tokens that training reads as one sequence (scoring reads whole texts). warm_docs and warm_passes: a start
-    on few documents, before ``passes`` over all."""
+    warm_docs, of at most warm_bytes, and warm_passes: a start on few documents, before the passes over all, which
+    end once the log likelihood grows by less than ``least_gain`` of itself, at the latest after ``passes``."""
 
     known: int = 65_536
     words: int = 8192
     classes: int = 256
     states: int = 8
-    chunk: int = 64
     warm_docs: int = 500
+    warm_bytes: int = 16 << 20
     warm_passes: int = 20
-    passes: int = 2
+    passes: int = 3
+    least_gain: float = 1e-3
     stay: float = 0.9
     prior: float = 2000.0
     seed: int = 11
@@ -97,15 +98,18 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, documents: int, how: Settings) -> Vocabulary:
-    """The known words are those of the counts that at most ``how.known`` words reach."""
+    """The known words are the ``how.known`` most frequent; of the words of the last count, a part by their hashes."""
     by_count = [(r["n"], r["k"]) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).limit(how.known).collect()]
-    total, least = 0, None
+    total, wanted = 0, F.lit(False)
     for n, k in by_count:
-        if (total := total + k) > how.known:
+        room, total = how.known - total, total + k
+        if total > how.known:
+            wanted = wanted | ((F.col("n") == n) & (F.col("word") < int(-(2**63) + min(room / k, 1.0) * (2**64 - 1))))
             break
-        least = n
-    best = counts.filter(F.col("n") >= least).collect() if least is not None else []
+        wanted = F.col("n") >= n
+    best = counts.filter(wanted).collect()
     best.sort(key=lambda r: (-r["n"], r["word"]))
+    best = best[: how.known]  # hashes are even, not exact
     sums = {r["class"]: (r["n"], r["k"]) for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()}
     mass, types = np.zeros(how.classes), np.zeros(how.classes)
     for c, (n, k) in sums.items():
@@ -182,13 +186,11 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_col: str, text_col: str, held_
 
 @dataclass
 class Hmm:
-    """Start and transition probabilities, emissions (symbols x states), and the mix of states for a sequence that
-    goes on from an earlier chunk."""
+    """Start and transition probabilities, and emissions (symbols x states)."""
 
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray
-    mix: np.ndarray
 
     @staticmethod
     def first(vocab: Vocabulary) -> Hmm:
@@ -197,52 +199,61 @@ class Hmm:
         emit = vocab.unigram[:, None] * rng.gamma(2.0, 0.5, (len(vocab.unigram), k))
         move = np.full((k, k), (1 - how.stay) / max(k - 1, 1))
         np.fill_diagonal(move, how.stay if k > 1 else 1.0)
-        return Hmm(np.full(k, 1 / k), move, emit / emit.sum(axis=0), np.full(k, 1 / k))
+        return Hmm(np.full(k, 1 / k), move, emit / emit.sum(axis=0))
 
-    def expected(self, texts: list[np.ndarray], chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expected counts of starts, moves and emissions over ``texts``, and their log likelihood, by forward and
-        backward recursions over chunks."""
+    def expected(self, texts: list[np.ndarray], stretch: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts of starts, moves and emissions over whole ``texts`` (none empty), and their log likelihood,
+        by the scaled forward and backward recursions, the texts side by side, longest first.
+
+        Forward states are kept at the start of every stretch of tokens only, and computed again from there when the way
+        back needs them, so the memory for a text of n tokens and k states is about n * (1 + k / stretch)."""
         k = len(self.start)
-        pieces = [(t[i : i + chunk], i == 0) for t in texts for i in range(0, len(t), chunk)]
-        pieces.sort(key=lambda p: -len(p[0]))
-        size = np.array([len(p) for p, _ in pieces])
-        grid = np.zeros((chunk, len(pieces)), np.int64)
-        for row, (p, _) in enumerate(pieces):
-            grid[: len(p), row] = p
-        live = [int((size > t).sum()) for t in range(chunk)]
-        opening = np.array([o for _, o in pieces])
-        alpha, scale = np.zeros((chunk, len(pieces), k)), np.ones((chunk, len(pieces)))
-        for t in range(chunk):
+        texts = sorted(texts, key=len, reverse=True)
+        size = np.array([len(t) for t in texts])
+        flat, begin = np.concatenate(texts), np.cumsum(size) - size
+        live = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right").tolist()
+        scales, borders = [None] * len(live), {}
+
+        def step(t: int, a: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
             n = live[t]
-            if not n:
-                break
-            a = np.where(opening[:, None], self.start, self.mix) if t == 0 else alpha[t - 1, :n] @ self.move
-            a = a * self.emit[grid[t, :n]]
-            scale[t, :n] = a.sum(axis=1)
-            alpha[t, :n] = a / scale[t, :n, None]
+            a = (self.start if a is None else a[:n] @ self.move) * self.emit[flat[begin[:n] + t]]
+            scale = a.sum(axis=1)
+            return a / scale[:, None], scale
+
+        a, total = None, 0.0
+        for t in range(len(live)):
+            if t % stretch == 0:
+                borders[t] = a
+            a, scales[t] = step(t, a)
+            total += float(np.log(scales[t]).sum())
         moves, emits = np.zeros((k, k)), np.zeros_like(self.emit)
-        beta = np.ones((len(pieces), k))
-        for t in range(chunk - 1, -1, -1):
-            n = live[t]
-            if not n:
-                continue
-            if t + 1 < chunk and live[t + 1]:
-                m = live[t + 1]
-                ahead = self.emit[grid[t + 1, :m]] * beta[:m] / scale[t + 1, :m, None]
-                moves += alpha[t, :m].T @ ahead * self.move
-                beta[:m] = ahead @ self.move.T
-            state = alpha[t, :n] * beta[:n]
+        beta = np.ones((len(texts), k))
+        for first in range((len(live) - 1) // stretch * stretch, -1, -stretch):
+            last = min(first + stretch, len(live))
+            a, alphas = borders.pop(first), []
+            for t in range(first, last):
+                a, _ = step(t, a)
+                alphas.append(a)
+            symbols, states = [], []
+            for t in range(last - 1, first - 1, -1):
+                n, alpha = live[t], alphas[t - first]
+                if t + 1 < len(live):
+                    m = live[t + 1]
+                    ahead = self.emit[flat[begin[:m] + t + 1]] * beta[:m] / scales[t + 1][:, None]
+                    moves += alpha[:m].T @ ahead
+                    beta[:m] = ahead @ self.move.T
+                symbols.append(flat[begin[:n] + t])
+                states.append(alpha * beta[:n])
+            symbols, states_ = np.concatenate(symbols), np.concatenate(states)
             for s in range(k):
-                emits[:, s] += np.bincount(grid[t, :n], state[:, s], len(self.emit))
-        first = alpha[0] * beta
-        return first[opening].sum(axis=0), moves, emits, float(np.log(scale).sum())
+                emits[:, s] += np.bincount(symbols, states_[:, s], len(self.emit))
+        return states[-1].sum(axis=0), moves * self.move, emits, total
 
     def improved(self, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, vocab: Vocabulary) -> Hmm:
         """The model of expected counts, smoothed towards the unigram distribution."""
         emits = emits + vocab.settings.prior * vocab.unigram[:, None] * min(1.0, max(emits.sum(), 1.0) / 1e6)
         moves, starts = moves + 1e-2, starts + 1e-2
-        mix = emits.sum(axis=0)
-        return Hmm(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0), mix / mix.sum())
+        return Hmm(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
 
     def log10_likelihood(self, texts: list[np.ndarray]) -> np.ndarray:
         """Exact log10 probability of each sequence by the scaled forward recursion, longest first, side by side."""
@@ -269,34 +280,39 @@ def _symbols(raws: list) -> list[np.ndarray]:
 
 
 def baum_welch(encoded: DataFrame, vocab: Vocabulary) -> Hmm:
-    """The trained model: warm passes over few documents, then passes over all training rows of ``encoded``."""
+    """The trained model: warm passes over few documents, then passes over all training rows of ``encoded``, each text a
+    sequence, until the likelihood hardly grows."""
     how, context = vocab.settings, encoded.sparkSession.sparkContext
     hmm = Hmm.first(vocab)
     training = encoded.filter(~F.col("held_out"))
-    few = least_ranked(training.select("id", "row", "symbols"), F.xxhash64("id", "row"), how.warm_docs).select("symbols").collect()
+    few = least_ranked(training.select("id", "row", "symbols"), F.xxhash64("id", "row"), how.warm_docs, F.octet_length("symbols"), how.warm_bytes).select("symbols").collect()
     warm = _symbols([r["symbols"] for r in few])
     if not warm:
         return hmm
     for _ in range(how.warm_passes):
-        starts, moves, emits, _ = hmm.expected(warm, how.chunk)
+        starts, moves, emits, _ = hmm.expected(warm)
         hmm = hmm.improved(starts, moves, emits, vocab)
-    k, n = how.states, len(vocab.unigram)
+    k, n, before = how.states, len(vocab.unigram), None
     for _ in range(how.passes):
         held = context.broadcast(hmm)
 
         def expect(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(k + k * k + n * k)
-            for _, raws in slices(batches, "symbols", 512 << 10):
-                starts, moves, emits, _ = held.value.expected(_symbols(raws), how.chunk)
-                sums += np.concatenate([starts, moves.ravel(), emits.ravel()])
+            sums = np.zeros(1 + k + k * k + n * k)
+            for _, raws in slices(batches, "symbols", 6 << 20):
+                starts, moves, emits, gain = held.value.expected(_symbols(raws))
+                sums += np.concatenate([[gain], starts, moves.ravel(), emits.ravel()])
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["at", "value"])
 
-        sums = np.zeros(k + k * k + n * k)
+        sums = np.zeros(1 + k + k * k + n * k)
         added = training.select("symbols").mapInArrow(expect, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
         sums[added["at"].to_numpy()] = added["value"].to_numpy()
+        likelihood, sums = sums[0], sums[1:]
         hmm = hmm.improved(sums[:k], sums[k : k + k * k].reshape(k, k), sums[k + k * k :].reshape(n, k), vocab)
         held.unpersist()
+        if before is not None and likelihood - before < how.least_gain * abs(before):
+            break
+        before = likelihood
     return hmm
 
 

@@ -9,6 +9,7 @@ on the posteriors of a bounded sample, and scores all documents.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_ranked, slices, written
+from .common import least_ranked, slices
 from .quality_rules import counters
 
 BAD, NONE, GOOD = 0, 1, 2
@@ -84,9 +85,9 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(gap, -40, 40)))
 
 
-def fit_label_model(codes: np.ndarray, counts: np.ndarray, passes: int = 60, prior: float = 0.85, trust: float = 1.0) -> LabelModel:
-    """Expectation-maximisation from labellers that seldom call a good text bad. That belief counts as ``trust``
-    times as many texts as there are, because the labellers of single faults overlap too little to prove it."""
+def fit_label_model(codes: np.ndarray, counts: np.ndarray, passes: int = 200, prior: float = 0.85, strength: float = 50.0) -> LabelModel:
+    """Expectation-maximisation, begun from labellers that seldom call a good text bad. That belief counts as
+    ``strength`` texts of each class, whatever their number, so it names the classes and fades as texts come in."""
     v, n = unpacked(np.asarray(codes, np.int64)), np.asarray(counts, np.float64)
     start = np.empty((2, len(LABELLERS), 3))
     start[0, : len(ABOVE)], start[1, : len(ABOVE)] = [0.12, 0.879, 0.001], [0.001, 0.998, 0.001]
@@ -97,9 +98,12 @@ def fit_label_model(codes: np.ndarray, counts: np.ndarray, passes: int = 60, pri
         new = np.empty_like(start)
         for c, p in ((0, 1 - good), (1, good)):
             for j in range(len(LABELLERS)):
-                new[c, j] = np.bincount(v[:, j], p * n, 3) + start[c, j] * trust * max((p * n).sum(), 1.0)
+                new[c, j] = np.bincount(v[:, j], p * n, 3) + start[c, j] * strength
         new /= new.sum(axis=2, keepdims=True)
+        moved = np.abs(new - model.says).max()
         model = LabelModel(float(np.clip((good * n).sum() / n.sum(), 0.02, 0.98)), new)
+        if moved < 1e-6:
+            break
     return model
 
 
@@ -164,25 +168,26 @@ def fit_scorer(texts: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray,
     return scorer
 
 
-def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 6000, limit: float = 0.5) -> DataFrame:
+def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 6000, sample_bytes: int = 64 << 20, limit: float = 0.5) -> DataFrame:
     """Each row's id, ``n_votes`` (labellers that voted), ``posterior`` (of the label model), ``score`` (of the scorer,
     probability of good) and ``kept`` (score >= limit).
 
     Null and empty texts are texts without a word and are scored like others. The scorer is fitted on at most
-    ``sample`` documents, those of the smallest hashes; the label model on all. Repeated rows count and
+    ``sample`` documents of together at most ``sample_bytes``, those of the smallest hashes; the label model on all. Repeated rows count and
     score each; an empty table gives an empty result."""
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
-    def vote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_64_intdigest(x or b"") - (1 << 63) for x in texts], pa.int64()), pa.array([pattern(votes(x or b"")) for x in texts], pa.int32())], names=["id", "key", "pattern"])
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[int] = Counter()
+        for _, texts in slices(batches, "text"):
+            found.update(pattern(votes(x or b"")) for x in texts)
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int32()), pa.array(found.values(), pa.int64())], names=["pattern", "n"])
 
-    voted = written(rows.mapInArrow(vote, f"id {kind}, key long, pattern int"), "votes")
-    counts = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most 3 ** 10 rows
+    counts = rows.select("text").mapInArrow(count, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()  # at most 3 ** 10 rows
     model = fit_label_model(counts["pattern"].to_numpy(), counts["n"].to_numpy())
-    chosen = least_ranked(rows, F.xxhash64("id", "text"), sample).select("text").toPandas()
+    chosen = least_ranked(rows, F.xxhash64("id", "text"), sample, F.octet_length("text"), sample_bytes).select("text").toPandas()
     features = Features()
     raws = [(t or "").encode() for t in chosen["text"]]
     targets = model.posterior(np.array([pattern(votes(r)) for r in raws], np.int64))

@@ -368,9 +368,24 @@ def test_weak_quality_against_labels(spark, data):
     assert (got["kept"] == (got["quality"] == 1)).mean() > 0.93 and got["score"].between(0, 1).all()
 
 
-def test_label_model_learns_accuracies():
-    model = weak_quality.fit_label_model(np.array([weak_quality.pattern([weak_quality.NONE] * 7 + [weak_quality.GOOD] * 3), weak_quality.pattern([weak_quality.BAD, *[weak_quality.NONE] * 6, *[weak_quality.BAD] * 3])]), np.array([90, 10]))
-    good, bad = model.posterior(np.array([weak_quality.pattern([weak_quality.NONE] * 7 + [weak_quality.GOOD] * 3), weak_quality.pattern([weak_quality.BAD, *[weak_quality.NONE] * 6, *[weak_quality.BAD] * 3])]))
+def test_label_model_recovers_accuracies_that_the_start_does_not_know():
+    """Votes simulated from labellers unlike the start: the estimates come near the truth, whatever the start says."""
+    r, n, kinds = np.random.default_rng(9), 60_000, len(weak_quality.LABELLERS)
+    good = r.random(n) < 0.7
+    truth = np.empty((2, kinds, 3))
+    truth[0], truth[1] = [0.5, 0.3, 0.2], [0.1, 0.5, 0.4]
+    truth[0, 3:6], truth[1, 3:6] = [0.3, 0.65, 0.05], [0.02, 0.68, 0.3]
+    draw = r.random((n, kinds))
+    vote = (draw[:, :, None] > truth[good.astype(int)].cumsum(axis=2)[:, :, :2]).sum(axis=2)
+    codes, counts = np.unique(vote @ (3 ** np.arange(kinds - 1, -1, -1)), return_counts=True)
+    model = weak_quality.fit_label_model(codes, counts)
+    assert np.abs(model.says - truth).max() < 0.03 and abs(model.prior - 0.7) < 0.03
+
+
+def test_label_model_names_its_classes():
+    one, other = [weak_quality.NONE] * 7 + [weak_quality.GOOD] * 3, [weak_quality.BAD, *[weak_quality.NONE] * 6, *[weak_quality.BAD] * 3]
+    codes = np.array([weak_quality.pattern(one), weak_quality.pattern(other)])
+    good, bad = weak_quality.fit_label_model(codes, np.array([90, 10])).posterior(codes)
     assert good > 0.9 > 0.1 > bad
 
 
@@ -439,7 +454,7 @@ def test_lm_scores_equal_brute_force(spark, data):
 def test_forward_equals_sum_over_paths():
     r = np.random.default_rng(2)
     p = lambda *s: (x := r.random(s)) / x.sum(axis=-1, keepdims=True)
-    hmm = lm_scoring.Hmm(p(3), p(3, 3), p(3, 5).T.copy(), p(3))
+    hmm = lm_scoring.Hmm(p(3), p(3, 3), p(3, 5).T.copy())
     text = np.array([0, 4, 2, 2])
     total = 0.0
     for code in range(3**4):
@@ -447,17 +462,44 @@ def test_forward_equals_sum_over_paths():
         total += hmm.start[s[0]] * hmm.emit[text[0], s[0]] * np.prod([hmm.move[s[i - 1], s[i]] * hmm.emit[text[i], s[i]] for i in range(1, 4)])
     got = hmm.log10_likelihood([text, text[:1]])
     assert math.isclose(got[0], math.log10(total)) and math.isclose(got[1], math.log10((hmm.start * hmm.emit[0]).sum()))
-    starts, moves, emits, ll = hmm.expected([text], 4)
+    starts, moves, emits, ll = hmm.expected([text])
     assert math.isclose(starts.sum(), 1) and math.isclose(moves.sum(), 3) and math.isclose(emits.sum(), 4) and math.isclose(ll, math.log(total))
 
 
 def test_baum_welch_pass_raises_the_likelihood():
     r = np.random.default_rng(4)
     p = lambda *s: (x := r.random(s)) / x.sum(axis=-1, keepdims=True)
-    hmm, texts = lm_scoring.Hmm(p(2), p(2, 2), p(2, 4).T.copy(), p(2)), [r.integers(0, 4, 30) for _ in range(5)]
-    starts, moves, emits, before = hmm.expected(texts, 30)
-    new = lm_scoring.Hmm(starts / starts.sum(), moves / moves.sum(1, keepdims=True), emits / emits.sum(0), hmm.mix)
-    assert new.expected(texts, 30)[3] >= before
+    hmm, texts = lm_scoring.Hmm(p(2), p(2, 2), p(2, 4).T.copy()), [r.integers(0, 4, 30) for _ in range(5)]
+    starts, moves, emits, before = hmm.expected(texts)
+    new = lm_scoring.Hmm(starts / starts.sum(), moves / moves.sum(1, keepdims=True), emits / emits.sum(0))
+    assert new.expected(texts)[3] >= before
+
+
+def test_expected_counts_equal_path_enumeration():
+    """On texts longer than a stretch of kept states: counts of starts, moves and emissions, summed over all paths."""
+    r = np.random.default_rng(6)
+    p = lambda *s: (x := r.random(s)) / x.sum(axis=-1, keepdims=True)
+    hmm, texts = lm_scoring.Hmm(p(2), p(2, 2), p(2, 4).T.copy()), [r.integers(0, 4, n) for n in (9, 1, 5, 9)]
+    starts, moves, emits, ll = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2)), 0.0
+    for text in texts:
+        paths = [[code >> i & 1 for i in range(len(text))] for code in range(1 << len(text))]
+        mass = np.array([hmm.start[s[0]] * np.prod([hmm.emit[o, q] for o, q in zip(text, s)]) * np.prod([hmm.move[a, b] for a, b in zip(s, s[1:])]) for s in paths])
+        ll += math.log(mass.sum())
+        for s, w in zip(paths, mass / mass.sum()):
+            starts[s[0]] += w
+            for a, b in zip(s, s[1:]):
+                moves[a, b] += w
+            for o, q in zip(text, s):
+                emits[o, q] += w
+    for stretch in (2, 4, 64):
+        got = hmm.expected(texts, stretch)
+        assert np.allclose(got[0], starts) and np.allclose(got[1], moves) and np.allclose(got[2], emits) and math.isclose(got[3], ll)
+
+
+def test_words_of_equal_counts_fill_the_vocabulary(spark):
+    counts = lm_scoring.count_words(docs_of(spark, [" ".join(f"w{i}" for i in range(3000))]).select("text"), 16)
+    vocab = lm_scoring.vocabulary(counts, 1, lm_scoring.Settings(known=1000, words=500, classes=16))
+    assert 900 < len(vocab.index) <= 1000 and (vocab.symbols < 500).sum() == 500
 
 
 def test_lm_edges(edges, nothing):
