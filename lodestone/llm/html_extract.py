@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -30,7 +31,9 @@ TOKEN = re.compile(
     r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)|(?P<text>[^<]++|<)",
     re.DOTALL | re.IGNORECASE,
 )
-ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Buckets of hashed words of names.
+NAMES = 1 << 14
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never shown as text of the page.
 HIDDEN = frozenset("head template noscript svg math object select datalist button canvas audio video map".split())
@@ -39,20 +42,10 @@ BLOCKS = frozenset(
 )
 #: A start tag of these ends the open elements named, up to the nearest of the borders.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-#: Fixed words of class, id and role that say what an element is for.
-PURPOSE = {
-    "menu": "nav menu navigation navbar breadcrumb breadcrumbs pagination pager toc toolbar topbar tabs skip sitemap",
-    "frame": "header footer masthead logo copyright legal colophon disclaimer foot bottom",
-    "side": "sidebar aside widget side rail related recommended recommendation recommendations trending popular more",
-    "advert": "ad ads adv advert advertisement advertising sponsor sponsored promo promoted promotion banner adsense",
-    "notice": "cookie cookies notice consent gdpr popup modal overlay alert announcement newsletter subscribe subscription paywall",
-    "form": "form search login signin signup register contact input",
-    "comment": "comment comments reply replies disqus respond discussion thread reader readers feedback review reviews",
-    "share": "share sharing social follow tags tag meta byline author date",
-    "content": "article content post entry story body text main page prose",
-}
-PURPOSE_OF = {w: k for k, words in PURPOSE.items() for w in words.split()}
-SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+#: Attributes whose words say what an element is for.
+NAMING = ("class", "id", "role")
+WORDS = re.compile(r"[^\W\d_]+")
+CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 @dataclass
@@ -66,19 +59,31 @@ class Page:
     leaf: list[bool] = field(default_factory=list)
 
 
+@cache
+def _name_features(names: str) -> tuple[str, ...]:
+    """Hashed words of an element's names, and hashed runs of four letters, which words of other languages share."""
+    out = set()
+    for word in WORDS.findall(CASE.sub(" ", names).lower()):
+        out.add(f"name {zlib.crc32(word.encode()) % NAMES}")
+        marked = f"<{word}>"
+        out.update(f"part {zlib.crc32(marked[i : i + 4].encode()) % NAMES}" for i in range(max(1, len(marked) - 3)))
+    return tuple(sorted(out))
+
+
 def _element_features(tag: str, attrs: dict[str, str], within: set[str]) -> list[str]:
-    names = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", " ".join(attrs.get(a, "") for a in ("class", "id", "role")))
-    found = {PURPOSE_OF[w] for w in re.split(r"[^a-z]+", names.lower()) if w in PURPOSE_OF}
-    if {"form", "menu", "advert", "notice", "comment", "side", "share", "frame"} & found:
-        found.discard("content")
-    out = ["bias", f"tag={tag}", *(f"is={k}" for k in found)]
-    if tag == "header":
-        out.append(f"header in article={'article' in within}")
-    if attrs.get("hidden") is not None or "display:none" in attrs.get("style", "").replace(" ", ""):
-        out.append("hidden")
+    names = " ".join(attrs.get(a, "") for a in NAMING)
+    out = ["bias", f"tag={tag}", *(_name_features(names) if len(names) < 200 else ())]
+    if tag in ("header", "footer"):
+        out.append(f"{tag} in article={'article' in within}")
     return out
 
 
+def _unseen(attrs: dict[str, str]) -> bool:
+    """Whether an element's attributes keep it from the page."""
+    style = attrs.get("style", "").replace(" ", "").lower()
+    return "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+
+
 def _leaf_features(text: str, tag: str, link_share: float) -> list[str]:
     n = text.count(" ") + 1
     size = 0 if n < 4 else 1 if n < 12 else 2 if n < 40 else 3
@@ -138,7 +143,6 @@ def parse(source: str) -> Page:
         if tag in VOID or not (tag in BLOCKS or tag in HIDDEN):
             continue
         flush()
-        in_link = False
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -159,7 +163,7 @@ def parse(source: str) -> Page:
         parent = stack[-1] if stack else ("", 0, False, False)
         content = attrs.get("data-y") == "1" or parent[3]
         node = add(parent[1], _element_features(tag, attrs, {s[0] for s in stack}), "", 0, False)
-        stack.append((tag, node, parent[2] or tag in HIDDEN, content))
+        stack.append((tag, node, parent[2] or tag in HIDDEN or _unseen(attrs), content))
         if (m["attrs"] or m["attrs2"] or "").rstrip().endswith("/") and tag in HIDDEN:
             stack.pop()
     flush()
@@ -255,7 +259,7 @@ def train(pages: list[str], passes: int = 40, rate: float = 0.4, decay: float =
 
 
 @cache
-def default_model(pages: int = 250, seed: int = 5) -> Model:
+def default_model(pages: int = 400, seed: int = 5) -> Model:
     """The model trained on ``pages`` composed pages."""
     return train(compose(pages, seed))
 

@@ -24,6 +24,22 @@ AFTER = [
     '<div class="newsletter"><p>{sentence}</p></div>', '<div class="share">{links}</div>', '<div class="sponsored">{paragraph}</div>', '<div class="copyright">{sentence}</div>', '<aside class="widget"><p>{paragraph}</p></aside>', '<ul class="comment-list"><li><p>{paragraph}</p></li></ul>', '<div class="pagination">{links}</div>',
     '<footer><p>{paragraph}</p><ul>{links}</ul></footer>', '<section class="user-comments"><p>{paragraph}</p><p>{sentence}</p></section>', '<div class="tags">{links}</div>', '<div class="disclaimer"><p>{sentence}</p></div>',
 ]
+#: Names that sites of other languages and tools give to the same parts: kind -> names.
+NAMES = {
+    "menu": "menu navigation navbar menü navegacion navigazione hauptmenu nav-menu site-nav brotkrumen menu-principal topnav",
+    "foot": "footer fusszeile pie-de-pagina pied-de-page site-footer impressum colophon pie fuss bottom",
+    "side": "sidebar seitenleiste barra-lateral barre-laterale rail side-column related verwandt relacionados mehr-lesen a-lire-aussi trending",
+    "advert": "advert ad-slot werbung anzeige publicidad publicite sponsored promo-box anuncio reklame partner-box",
+    "notice": "cookie-banner notice hinweis aviso avis-cookies consent-box newsletter-box datenschutz popup meldung alert-bar",
+    "comment": "comments kommentare comentarios commentaires comment-list user-reviews leserbriefe respond discussion opiniones avis kommentar reader-comments",
+    "content": "content inhalt contenido contenu article-text artikel articulo beitrag entry story-body texto corps haupttext post-text",
+}
+KINDS = {
+    "menu": ["<ul>{links}</ul>", "{links}"], "foot": ["<p>{sentence}</p>", "<p>{short}</p><ul>{links}</ul>"], "side": ["<h3>{short}</h3><ul>{links}</ul>", "<p>{sentence}</p>", "<h4>{short}</h4><p>{paragraph}</p>"],
+    "advert": ["<p>{sentence}</p>", "{sentence}", "<p>{paragraph}</p>"], "notice": ["<p>{sentence}</p><button>{short}</button>", "<p>{sentence}</p>"], "comment": ["<div><p>{paragraph}</p></div><div><p>{sentence}</p></div>", "<ol><li>{sentence}</li><li>{paragraph}</li></ol>", "<h3>{short}</h3><p>{paragraph}</p>"],
+}
+#: Parts of the page that are not shown, and dialogs.
+UNSEEN = ['<div hidden><p>{paragraph}</p></div>', '<div style="display: none"><p>{sentence}</p></div>', '<p aria-hidden="true">{sentence}</p>', "<dialog><p>{sentence}</p></dialog>", "<dialog open><h3>{short}</h3><p>{sentence}</p></dialog>"]
 INSIDE = ['<div class="ad">{sentence}</div>', '<aside class="promo"><p>{sentence}</p></aside>', '<div class="social-share">{links}</div>', '<div class="related-links"><ul>{links}</ul></div>', '<div class="advertisement"><p>{sentence}</p></div>', '<nav class="toc"><ul>{links}</ul></nav>', '<form class="subscribe"><p>{sentence}</p></form>']
 
 
@@ -48,6 +64,19 @@ def _fill(r: random.Random, template: str) -> str:
     return template.format(links=links, short=_words(r, 1, 3), sentence=_sentence(r), paragraph=_paragraph(r))
 
 
+def _opaque(r: random.Random) -> str:
+    """A name that says nothing."""
+    return r.choice(["c-{}", "css-{}", "x{}", "b_{}", "sc-{}"]).format(r.randint(1, 99_999))
+
+
+def _named(r: random.Random, kind: str) -> str:
+    """A part of the page under one of the names of its kind, or now and then under one that says nothing."""
+    said = r.random() < 0.85
+    tag = {"menu": "nav", "foot": "footer", "side": "aside"}.get(kind, "div") if not said or r.random() < 0.2 else r.choice(["div", "section", "div"])
+    attribute = r.choice(["class", "class", "id"])
+    return f'<{tag} {attribute}="{r.choice(NAMES[kind].split()) if said else _opaque(r)}">{_fill(r, r.choice(KINDS[kind]))}</{tag}>'
+
+
 def _content(r: random.Random) -> str:
     out = [f'<h1 data-y="1">{_words(r, 1, 10)}</h1>'] if r.random() < 0.7 else []
     for _ in range(r.randint(1, 9)):
@@ -83,8 +112,15 @@ def compose(n: int, seed: int = 5) -> list[str]:
     for _ in range(n):
         box = r.choice(CONTENT_BOXES)
         inner = box.replace("{t}", _words(r, 1, 8)).replace("{}", _content(r))
-        before = "".join(_fill(r, t) for t in r.sample(BEFORE, r.randint(0, 4)))
-        after = "".join(_fill(r, t) for t in r.sample(AFTER, r.randint(0, 4)))
+        before = [_fill(r, t) for t in r.sample(BEFORE, r.randint(0, 4))] + [_named(r, k) for k in r.sample(["menu", "notice", "advert", "side"], r.randint(0, 2))]
+        after = [_fill(r, t) for t in r.sample(AFTER, r.randint(0, 4))] + [_named(r, k) for k in r.sample(["foot", "side", "advert", "comment", "notice"], r.randint(0, 2))]
+        if r.random() < 0.3:
+            r.choice([before, after]).append(_fill(r, r.choice(UNSEEN)))
+        if r.random() < 0.35:
+            inner = f'<div class="{r.choice(NAMES["content"].split()) if r.random() < 0.6 else _opaque(r)}">{inner}</div>'
+        r.shuffle(before)
+        r.shuffle(after)
+        before, after = "".join(before), "".join(after)
         page = before + inner + after
         if r.random() < 0.25:
             page = f'<div class="{r.choice(["page", "container", "wrapper", "site", "layout"])}">{page}</div>'

@@ -406,6 +406,27 @@ def test_extraction_on_fresh_labelled_pages():
     assert right >= 0.9 * len(pages)
 
 
+def test_hidden_and_foreign_parts_are_left_out():
+    """Pages written by hand, in no form that the training pages have."""
+    model = html_extract.default_model()
+    story = "<h1>A walk by the sea</h1><p>We went down to the shore before the sun was up. The tide was low.</p><p>Nobody spoke for a while, and then everybody did.</p>"
+    text = "A walk by the sea We went down to the shore before the sun was up. The tide was low. Nobody spoke for a while, and then everybody did."
+    parts = [
+        '<div hidden>Not shown at all, whatever it says here.</div>', '<p style="color:red; display:none">A secret line of text.</p>', '<section aria-hidden="true"><p>Only for machines, not for you.</p></section>', '<dialog open><p>We use small files to make this site better.</p></dialog>',
+        '<div class="kommentarbereich"><p>Das sehe ich ganz anders, und zwar schon lange.</p><p>Danke, sehr gut geschrieben!</p></div>', '<div id="seccion-comentarios"><p>Me ha gustado mucho este texto, gracias.</p></div>',
+        '<div class="werbeanzeige"><p>Buy two coats and pay for one of them.</p></div>', '<ul class="hauptnavigation"><li><a href="/a"><h3>Start</h3></a></li><li><a href="/b"><h3>News</h3></a></li></ul>',
+    ]
+    for part in parts:
+        for page in (f"<body><article>{story}</article>{part}</body>", f'<body>{part}<div class="artikeltext">{story}</div></body>'):
+            assert model.text(page) == text, page
+
+
+def test_text_of_a_block_inside_a_link_is_link_text():
+    page = html_extract.parse('<a href="/x"><h3>Read on here</h3></a><p>Plain words.</p>')
+    links = {t: f for t, f in zip(page.text, page.features, strict=True) if t}
+    assert "links=2" in links["Read on here"] and "links=0" in links["Plain words."]
+
+
 def test_messages_equal_brute_force_marginals():
     page = html_extract.parse("<body><nav><a href=x>menu</a></nav><article><p>One two three.</p><p>Four.</p></article></body>")
     model = html_extract.default_model()
