@@ -91,16 +91,17 @@ def last_tagged(c: Column, tag: str) -> Column:
     return F.when(F.size(found) > 0, F.element_at(found, -1))
 
 
-def redacted(c: Column, secrets: tuple[str, ...] = ("api_key", "authorization", "token", "password", "image", "reasoning_content"), depth: int = 6, items: int = 100, chars: int = 12_000) -> Column:
-    """JSON without secret keys, image data masked, bounded in depth, items and characters. Broken JSON becomes null."""
+def redacted(c: Column, secrets: tuple[str, ...] = ("api_key", "authorization", "token", "password", "image", "image_url", "reasoning_content"), parts: tuple[str, ...] = ("secret", "token_value"), depth: int = 6, items: int = 100, chars: int = 12_000) -> Column:
+    """JSON without secret keys (those named, and those that hold one of ``parts``), image data masked, bounded in depth,
+    items and characters. Broken JSON becomes null."""
 
     def walk(x: object, level: int) -> object:
         if isinstance(x, dict):
-            return {k: walk(v, level + 1) for k, v in list(x.items())[:items] if k.lower() not in secrets} if level < depth else "…"
+            return {k: walk(v, level + 1) for k, v in list(x.items())[:items] if k.lower() not in secrets and not any(p in k.lower() for p in parts)} if level < depth else "…"
         if isinstance(x, list):
             return [walk(v, level + 1) for v in x[:items]] if level < depth else "…"
         if isinstance(x, str):
-            return "[image]" if x.startswith("data:image/") else x[:chars]
+            return "[image omitted]" if x.startswith("data:image/") else x[:chars]
         return x
 
     def one(text: str | None) -> str | None:

@@ -34,14 +34,14 @@ def char_bigrams(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", F.sort_array(T.char_grams("text", 2)).alias("grams"))
 
 
-@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS INTEGER) AS n_words, list_slice(regexp_extract_all(text, '\d+(?:\.\d+)?'), 1, 5) AS numbers FROM documents""")
+@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS INTEGER) AS n_words, regexp_extract_all(text, '\d+(?:\.\d+)?') AS numbers FROM documents""")
 def extracted_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    """Words and the first numbers of each text (STR-p)."""
-    return table(spark, sf, "documents").select("doc_id", F.size(T.words("text")).alias("n_words"), F.slice(T.numbers("text"), 1, 5).alias("numbers"))
+    """Words and all numbers of each text (STR-p)."""
+    return table(spark, sf, "documents").select("doc_id", F.size(T.words("text")).alias("n_words"), T.numbers("text").alias("numbers"))
 
 
 @query(r"""SELECT conv_id, turn, CAST(2 * c + floor((n - c) / 4) AS BIGINT) AS tokens FROM
-(SELECT conv_id, turn, length(coalesce(text, '')) AS n, length(regexp_replace(coalesce(text, ''), '[^\x{3400}-\x{9fff}]', '', 'g')) AS c FROM conversations)""")
+(SELECT conv_id, turn, length(coalesce(text, '')) AS n, length(regexp_replace(coalesce(text, ''), '[^\x{4e00}-\x{9fff}]', '', 'g')) AS c FROM conversations)""")
 def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
     """Token estimates of turns (STR-q)."""
     return table(spark, sf, "conversations").select("conv_id", "turn", T.token_estimate("text").alias("tokens"))
@@ -131,7 +131,7 @@ def identifiers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.identifier("source").alias("source_id"), T.spell_digits(F.col("doc_id").cast("string"), "abcdefghij").alias("spelled"), T.after_last("text", " ").alias("last_word"))
 
 
-@query()
+@query("SELECT event_id, '{\"k\":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' AS props FROM events")
 def redacted_props(spark: SparkSession, sf: str) -> DataFrame:
     """Event properties without secrets, bounded (PRJ5, PRJ6)."""
     return table(spark, sf, "events").select("event_id", V.redacted(F.col("props")).alias("props"))

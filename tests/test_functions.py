@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import rules as R
 from lodestone.functions import text as T
 from lodestone.functions import values as V
 from lodestone.operators import curation, linking, relational, retrieval
@@ -35,13 +36,37 @@ def test_text_functions(spark):
     assert (parsed.subject, parsed.aspect, parsed.quality) == ("感冒", "symptom", 1.0)
 
 
+def test_chunks_by_hand(spark):
+    x = F.col("x")
+    assert one(spark, T.chunk_text(x, 10), "abc def ghij, klm. Next\nline of more words") == ["abc def", "ghij, klm.", "Next", "line of", "more words"]
+    assert one(spark, T.chunk_text(x, 10), "abcdefghijklmnop") == ["abcdefghij", "klmnop"] and one(spark, T.chunk_text(x, 10), None) == [] and one(spark, T.chunk_text(x), " \n ") == []
+    packed = one(spark, T.pack_segments(x, 4), "One two. Three. Four five six seven. 8")
+    assert " ".join(packed) == "One two. Three. Four five six seven. 8" and packed[0] == "One two. Three." and all(len(p) // 4 <= 4 for p in packed)
+    assert one(spark, T.window_similarity(x, F.lit("abcdef")), "abc") > 0.4 and one(spark, T.token_estimate(x), "\u3400\u3400\u3400\u3400") == 1
+
+
+def test_rules(spark):
+    x, no = F.col("x"), r"(?:^| )(?:no|not) "
+    rules, both = [("pain", "pain"), ("fever", "fever")], [("pair", "cough", ["rash"])]
+    codes = lambda t: one(spark, R.coded_rules(x, rules, no, both), t)
+    assert codes("no pain, but fever") == ["fever"] and codes("cough and rash") == ["pair"] and codes("cough, not a rash") == [] and codes(None) == []
+    got = one(spark, R.polarity(x, ["arm", "left arm", "rash"], no), "left arm hurts, no rash. no arm hurts")
+    assert got.positive == ["left arm"] and got.negative == ["rash", "arm"]
+    asked = R.follow_up(x, [("pain", ["Where is the pain?", "Any fever?"])], ["Since when?"], F.array(F.lit("fever")), "Else?")
+    assert one(spark, asked, "pain") == ["Where is the pain?"] and one(spark, asked, "fever") == ["Since when?"]
+    gate = R.confirmed(x, "doctor said", F.lit(True), "Answer:")
+    assert one(spark, gate, "a doctor said so") and not one(spark, gate, "has a doctor said so? Answer: no")
+    cut = R.within_budget({"a": (F.split(x, ","), 1), "b": (F.split(x, ","), 2)}, 40)
+    assert tuple(map(len, one(spark, cut, "1,2,3"))) == (3, 3) and tuple(map(len, one(spark, cut, "1111,2222,3333,4444"))) == (1, 2)
+
+
 def test_value_functions(spark):
     x = F.col("x")
     assert one(spark, V.cascade(x, [("a", "A"), ("b", "B")], "none"), "ba") == "A" and one(spark, V.cascade(x, [("a", "A")], "none"), "z") == "none"
     assert one(spark, V.compare(x, "gt", 5), "abc") is None and one(spark, V.compare(x, "exists", None), None) is False
     assert one(spark, V.all_hold([V.compare(x, "eq", "a"), V.compare(F.lit(None).cast("string"), "eq", "b")]), "z") is False
     assert one(spark, V.last_tagged(x, "s"), "<s>1</s> <s>2</s>") == "2"
-    assert json.loads(one(spark, V.redacted(x), json.dumps({"token": 1, "a": {"image": "x", "b": "data:image/png"}}))) == {"a": {"b": "[image]"}}
+    assert json.loads(one(spark, V.redacted(x), json.dumps({"token": 1, "client_secret": 2, "my_token_value": 3, "image_url": 4, "a": {"image": "x", "b": "data:image/png"}}))) == {"a": {"b": "[image omitted]"}}
     assert one(spark, V.values_of_key(x, "k"), '{"k": "1", "z": [{"k": "2"}]}') == ["1", "2"]
     assert json.loads(one(spark, V.replaced_values(x, {"a": "b"}), '{"x": ["a", "c"]}')) == {"x": ["b", "c"]}
     assert one(spark, V.rate(F.lit(1), F.lit(0))) == 0.0
