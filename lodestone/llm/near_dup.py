@@ -34,9 +34,9 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BLOCK_BYTES = 4 << 20
 #: Members of buckets up to which all buckets are worked off at once.
 FEW = 1_000_000
-#: How far below the threshold the share of equal places must be for a pair not to be compared: of 252 places, it is six
-#: standard deviations at a similarity of 0.8.
-MARGIN = 0.15
+#: How far below the threshold the share of equal places must be for a pair not to be compared: of 252 places, it is at
+#: least 4.8 standard deviations at a similarity of 0.8.
+MARGIN = 0.12
 
 
 def shingle_set(raw: bytes | None, n: int = 4) -> np.ndarray:
@@ -154,17 +154,37 @@ def links_of_star(ids: np.ndarray, center: int, sets: list[np.ndarray], threshol
     return [(int(center), int(x)) for x in ids[linked] if x != center]
 
 
-def with_neighbours(groups: np.ndarray, probe: np.ndarray, marks: np.ndarray, least: float) -> np.ndarray:
-    """Which rows of ``marks`` (bytes, a row for each signature) agree in at least that share of places with a row of
-    another group, one of the two probing."""
-    near = np.zeros(len(marks), bool)
-    step = max(1, (64 << 20) // max(marks.size, 1))
-    for at in range(0, len(marks), step):
+def close_pairs(marks: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of ``marks`` (bytes, a row for each signature) that agree in at least that share of places.
+
+    Matrix products count where the two low bits agree; pairs that are near by those, with a margin, are looked at
+    byte by byte."""
+    n, width = marks.shape
+    rough = np.zeros((n, n), np.float32)
+    for v in range(4):
+        part = (marks & 3 == v).astype(np.float32)
+        rough += part @ part.T
+    x, y = np.nonzero(np.triu(rough >= width * (0.25 + 0.75 * (least - 0.05)), 1))
+    keep = np.zeros(len(x), bool)
+    step = max(1, (16 << 20) // max(width, 1))
+    for at in range(0, len(x), step):
         part = slice(at, at + step)
-        share = np.count_nonzero(marks[part, None, :] == marks[None, :, :], axis=2) / max(marks.shape[1], 1)
-        pairs = (share >= least) & (groups[part, None] != groups[None, :]) & (probe[part, None] | probe[None, :])
-        near[part] |= pairs.any(axis=1)
-        near |= pairs.any(axis=0)
+        keep[part] = np.count_nonzero(marks[x[part]] == marks[y[part]], axis=1) >= least * width
+    return x[keep], y[keep]
+
+
+def with_neighbours(bucket: int, groups: np.ndarray, probe: np.ndarray, marks: np.ndarray, own: np.ndarray, least: float) -> np.ndarray:
+    """Which rows have a close one in another group, one of the two probing, for which ``bucket`` is the first that both
+    are in (``own``: a row's buckets by band, 0 for none), so that a pair is compared in one bucket only."""
+    x, y = close_pairs(marks, least)
+    keep = (groups[x] != groups[y]) & (probe[x] | probe[y])
+    x, y = x[keep], y[keep]
+    near, step = np.zeros(len(marks), bool), 1 << 15
+    for at in range(0, len(x), step):
+        i, j = x[at : at + step], y[at : at + step]
+        same = (own[i] == own[j]) & (own[i] != 0)
+        first = own[i, same.argmax(axis=1)] == bucket
+        near[i[first]] = near[j[first]] = True
     return near
 
 
@@ -249,6 +269,11 @@ def dealt(part: DataFrame, weight: str, most: int) -> DataFrame:
     return open_.withColumn("block", block).select("bucket", "node", "grp", "probe", F.inline(pairs))
 
 
+def parts_for(rows: int, each: int) -> int:
+    """Parts of a shuffle of so many rows."""
+    return max(8, -(-rows // each))
+
+
 class _Linker:
     """The search for links between the classes of ``members`` (bucket, node, leader)."""
 
@@ -282,7 +307,7 @@ class _Linker:
             found = links_of_star(frame["node"].to_numpy(), key[0], [np.frombuffer(x, np.uint64) for x in frame["elements"]], threshold)
             return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-        rows = self.sets.join(small(planets.unionByName(suns)), "node")
+        rows = self.sets.join(small(planets.unionByName(suns)), "node").repartition(parts_for(kept(star).rows, 4000), "leader", "block")
         self.merge(rows.groupBy("leader", "block").applyInPandas(compare, "a long, b long"))
 
     def work_off(self, buckets: Column) -> None:
@@ -294,7 +319,8 @@ class _Linker:
 
         def look(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             marks = np.frombuffer(b"".join(frame["marks"]), np.uint8).reshape(len(frame), -1)
-            near = with_neighbours(frame["grp"].to_numpy(), frame["probe"].to_numpy(), marks, least)
+            own = np.stack(frame["own"].to_numpy()).astype(np.int64)
+            near = with_neighbours(key[0], frame["grp"].to_numpy(), frame["probe"].to_numpy(), marks, own, least)
             return pd.DataFrame({"bucket": key[0], "node": frame["node"][near]})
 
         def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -305,12 +331,14 @@ class _Linker:
         looks = written(dealt(part, "mark", 1 << 20), "looks")
         if not kept(looks).rows:
             return
-        looks = self.payload.select("node", "marks").join(small(looks), "node")
-        near = written(looks.groupBy(*meet).applyInPandas(look, "bucket long, node long").distinct(), "near")
+        # the work is in the pairs, not in the bytes, so the number of parts goes by rows
+        rows = self.payload.select("node", "marks", "own").join(small(looks), "node").repartition(parts_for(kept(looks).rows, 2000), *meet)
+        near = written(rows.groupBy(*meet).applyInPandas(look, "bucket long, node long").distinct(), "near")
         if not kept(near).rows:
             return
         left = written(part.join(small(near), ["bucket", "node"]), "left")
-        blocks = self.sets.join(small(dealt(left, "bytes", BLOCK_BYTES)), "node")
+        open_ = written(dealt(left, "bytes", BLOCK_BYTES), "dealt")
+        blocks = self.sets.join(small(open_), "node").repartition(parts_for(kept(open_).rows, 1000), *meet)
         self.merge(blocks.groupBy(*meet).applyInPandas(compare, "a long, b long"))
 
 
@@ -319,7 +347,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two documents are linked if 100 * shared >= threshold * united shingles, on full sets. Two with the least
     linked similarity, 0.8, miss each other in all of 42 bands of 6 with probability 3e-6, and are told too far apart
-    by their signatures with 1e-9; any path of links joins them as well. Ids are integers. A text that is null or has no word has
+    by their signatures with less than 1e-6; any path of links joins them as well. Ids are integers. A text that is null or has no word has
     an empty set and no link. Rows with one id are one document, that of the text whose set has the least hash. Rows with
     a null id are each returned, with a null component, and kept. An empty table gives an empty result."""
     if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
@@ -342,7 +370,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = written(members.select("node").distinct().join(reps.select("node", "set_a", "set_b"), "node"), "wanted")
     sets = shingle_sets(docs.filter(F.col(id_col).isNotNull()), wanted, id_col, text_col, shingle)
     sets = written(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
-    payload = written(reps.select("node", "n_shingles", "marks").join(small(wanted).select("node"), "node"), "marks")
+    in_buckets = members.groupBy("node").agg(F.collect_list("bucket").alias("in_buckets"))  # at most one a band
+    own = F.expr("transform(bands, b -> if(array_contains(in_buckets, b), b, 0L))").alias("own")
+    payload = written(reps.select("node", "n_shingles", "marks", "bands").join(small(in_buckets), "node").select("node", "n_shingles", "marks", own), "marks")
     linker = _Linker(members, payload, sets, threshold)
     linker.meet_leaders()
     eighth = F.pmod("bucket", F.lit(8)) == 0

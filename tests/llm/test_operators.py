@@ -267,11 +267,14 @@ def test_super_minhash_estimates_similarity():
 
 
 def test_near_duplicates_edges(edges, nothing):
-    got = {r.doc_id: r for r in near_dup.near_duplicates(edges).collect()}
-    assert set(got) == {*range(11), None} and got[None].kept and got[None].component_id is None and got[6].component_id == 5 and got[0].n_shingles == 0 and got[0].kept
-    kept = near_dup.keep_one(edges)
-    assert kept.columns == edges.columns and kept.filter("doc_id IS NULL").count() == 2 and kept.filter("doc_id = 6").count() == 0
-    assert near_dup.near_duplicates(edges).filter("doc_id IS NULL").count() == 2
+    rows = near_dup.near_duplicates(edges).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == 13 and set(got) == {*range(11), None} and got[None].kept and got[None].component_id is None and got[6].component_id == 5 and got[0].n_shingles == 0 and got[0].kept
+    clashing = edges.withColumns({c: F.lit("x") for c in ("__gone", "gone", "doc", "node")})
+    left = near_dup.keep_one(clashing)
+    assert left.columns == clashing.columns
+    left = left.groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in left if r.doc_id in (None, 5, 6)} == {None: 2, 5: 2}
     assert near_dup.near_duplicates(nothing).count() == 0
     with pytest.raises(TypeError):
         near_dup.near_duplicates(edges.withColumn("doc_id", F.lit("x")))
@@ -279,14 +282,11 @@ def test_near_duplicates_edges(edges, nothing):
 
 def test_near_duplicates_of_one_id_with_two_texts(spark):
     """Whichever text stands for the id, its links are those of that text; the other's documents are not lost."""
-    for seed in range(2):
-        a, b = prose(seed, 90), prose(seed + 50, 90)
-        rows = [(1, a), (1, b), (1, b), (2, a + " end"), (3, b + " end"), (4, a), (5, b)]
-        docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("__gone", "gone", "doc", "id", "node")})
-        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, shingle=4).collect()}
-        assert got in ({1: 1, 2: 1, 4: 1, 3: 3, 5: 3}, {1: 1, 3: 1, 5: 1, 2: 2, 4: 2})
-        kept = near_dup.keep_one(docs, shingle=4)
-        assert kept.columns == docs.columns and kept.count() == 4
+    a, b = prose(1, 90), prose(51, 90)
+    rows = [(1, a), (1, b), (1, b), (2, a + " end"), (3, b + " end"), (4, a), (5, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("__gone", "gone", "doc", "id", "node")})
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, shingle=4).collect()}
+    assert got in ({1: 1, 2: 1, 4: 1, 3: 3, 5: 3}, {1: 1, 3: 1, 5: 1, 2: 2, 4: 2})
 
 
 def test_long_sets_are_cut_into_blocks_by_bytes(spark, monkeypatch):
@@ -307,10 +307,14 @@ def test_nothing_near_is_dropped_by_its_signature():
     r = np.random.default_rng(5)
     marks = r.integers(0, 256, (50, 252)).astype(np.uint8)
     marks[1, :200] = marks[0, :200]
-    groups, probe = np.arange(50), np.ones(50, bool)
-    assert np.flatnonzero(near_dup.with_neighbours(groups, probe, marks, 0.65)).tolist() == [0, 1]
+    x, y = near_dup.close_pairs(marks, 0.68)
+    assert (x.tolist(), y.tolist()) == ([0], [1])
+    groups, probe, own = np.arange(50), np.ones(50, bool), np.arange(50 * 4).reshape(50, 4) + 1000
+    own[0, 1:], own[1, 1:] = [7, 8, 9], [7, 8, 9]
+    near = lambda bucket: np.flatnonzero(near_dup.with_neighbours(bucket, groups, probe, marks, own, 0.68)).tolist()
+    assert near(7) == [0, 1] and near(8) == near(9) == []
     groups[1] = 0
-    assert not near_dup.with_neighbours(groups, probe, marks, 0.65).any()
+    assert near(7) == []
 
 
 # 6 -----------------------------------------------------------------------------------------------------------------
