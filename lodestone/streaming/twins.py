@@ -5,8 +5,6 @@ Checkpoints and result tables live in the folder that driver and executors share
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,13 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def _shared(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/streams/{uuid.uuid4().hex}"
+from ..session import scratch
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
@@ -42,7 +34,7 @@ def _is_file(spark: SparkSession, path: str) -> bool:
 def finished(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Runs an append stream to its end and reads what it wrote. With ``keys`` the stream is in update mode, and the last
     row of each key (by batch) stands."""
-    spark, base = stream.sparkSession, _shared(stream.sparkSession)
+    spark, base = stream.sparkSession, scratch(stream.sparkSession, "stream")
     out = f"{base}/table"
     if keys is None:
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{base}/log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
@@ -65,7 +57,8 @@ def running_totals(spark: SparkSession, path: str) -> DataFrame:
 
 
 def session_windows(spark: SparkSession, path: str, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
-    """Sessions of each user by event time; those the watermark has passed."""
+    """Sessions of each user by event time, those that the watermark has passed. Sessions still open at the end of the
+    stream are not among them: Spark gives session windows in append mode only."""
     rows = source(spark, path).withWatermark("at", late).groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n_events"))
     return finished(rows.select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n_events"))
 
