@@ -107,3 +107,37 @@ def within_budget(lists: dict[str, tuple[Column, int]], most: int) -> Column:
     total = sum(spare[1:], spare[0])
     fits = F.filter(F.sequence(F.lit(0), total), lambda k: F.octet_length(F.to_json(after(k))) <= most)
     return after(F.coalesce(F.try_element_at(fits, F.lit(1)), total))
+
+
+def contained(claimed: Column, allowed: Column) -> Column:
+    """Whether every claimed id is allowed; a null list is empty, and an empty claim is contained."""
+    return F.size(F.array_except(F.coalesce(claimed, F.array().cast("array<string>")), F.coalesce(allowed, F.array().cast("array<string>")))) == 0
+
+
+def flat_unique(nested: Column) -> Column:
+    """The texts of a list of lists in order, trimmed, each once, without nulls and blanks."""
+    flat = F.transform(F.flatten(F.filter(F.coalesce(nested, F.array().cast("array<array<string>>")), lambda x: x.isNotNull())), lambda x: F.trim(x))
+    return F.array_distinct(F.filter(flat, lambda x: x.isNotNull() & (x != "")))
+
+
+def kept_fields(fields: dict[str, Column]) -> Column:
+    """A map of the fields allowed, as texts, without nulls and blanks."""
+    entries = F.array(*[F.struct(F.lit(k).alias("k"), c.cast("string").alias("v")) for k, c in fields.items()])
+    return F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull() & (F.trim(e["v"]) != "")))
+
+
+def root_mean_square(samples: Column) -> Column:
+    """Loudness of a block of 16-bit samples, 0 to 1; 0 for an empty or null block."""
+    squares = F.aggregate(F.coalesce(samples, F.array().cast("array<double>")), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return F.coalesce(F.try_divide(F.sqrt(F.try_divide(squares, F.size(samples))), F.lit(32768.0)), F.lit(0.0))
+
+
+def run_sets(done: Column, overflowed: Column, failed: Column) -> Column:
+    """The sets that a run belongs to; they may overlap."""
+    sets = {"completed": done & ~failed, "overflow": overflowed, "error": failed}
+    return F.array_compact(F.array(*[F.when(F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds in sets.items()]))
+
+
+def review_priority(risky: Column, disagreeing: Column, score: Column, least: float) -> Column:
+    """P0 for what is risky, P1 for what reviewers disagree on or scores under ``least``, else P2."""
+    return decision([(risky, "P0"), (disagreeing | (score < least), "P1")], "P2")

@@ -166,3 +166,23 @@ def duplicate_report(df: DataFrame, key: Column, id_col: str, top: int = 20) ->
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables hold the same rows as often."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def exact_dedup_or_conflict(df: DataFrame, key: Column, value: Column, id_col: str) -> DataFrame:
+    """The row of the least id of each key, with ``occurrences`` and ``conflict``: whether rows of the key differ in value."""
+    rows = df.withColumns({"__key": key, "__value": value})
+    by = rows.groupBy("__key").agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("occurrences"), (F.min("__value") != F.max("__value")).alias("conflict"))
+    return by.select(id_col, "occurrences", F.coalesce("conflict", F.lit(False)).alias("conflict"))
+
+
+def quota_bank(df: DataFrame, stratum: list[str], id_col: str, seed: str, each: int, total: int) -> DataFrame:
+    """A balanced bank: from every stratum the ``each`` rows of the least hashes, then from all that is left the next by
+    hash until there are ``total``; with ``refill``, whether a row came in the second step.
+
+    The second step is a top n of hashes, which tasks prune before they send rows."""
+    order = [F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), 256), F.col(id_col)]
+    ranked = df.withColumn("__place", F.row_number().over(W.partitionBy(*stratum).orderBy(*order)))
+    first = ranked.filter(F.col("__place") <= each).drop("__place").withColumn("refill", F.lit(False))
+    room = max(total - first.count(), 0)
+    rest = ranked.filter(F.col("__place") > each).drop("__place").orderBy(*order).limit(room).withColumn("refill", F.lit(True))
+    return first.unionByName(rest)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import retrieval
+from ..operators import relational, retrieval
 from .registry import query, table
 
 #: Small rule tables in the shape of a consultation's, over the words that the tables have.
@@ -139,3 +140,77 @@ def speech_chunks(spark: SparkSession, sf: str) -> DataFrame:
 def values_by_key(spark: SparkSession, sf: str) -> DataFrame:
     """All values under a key of a JSON text (JSN2)."""
     return table(spark, sf, "events").select("event_id", V.values_of_key(F.col("props"), "k").alias("found"))
+
+
+@query("""SELECT conv_id, len(list_filter(list_distinct(list(role)), lambda r: r NOT IN ('user', 'assistant'))) = 0 AS allowed FROM conversations GROUP BY conv_id""")
+def evidence_contained(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations whose roles are all allowed (JN20)."""
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("roles"))
+    return rows.select("conv_id", R.contained(F.col("roles"), F.array(F.lit("user"), F.lit("assistant"))).alias("allowed"))
+
+
+@query("""SELECT doc_id, list_distinct([x FOR x IN [trim(lang), trim(source), trim(coalesce(left(text, 3), ''))] IF x <> '']) AS tags FROM documents""".replace("list_distinct([x FOR", "list_sort(list_distinct([x FOR").replace("<> '']) AS", "<> ''])) AS"))
+def flattened_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested lists of texts as one list, each text once (PRJ3)."""
+    nested = F.array(F.array("lang", F.concat(F.lit(" "), "source")), F.array("lang", F.substring("text", 1, 3)))
+    return table(spark, sf, "documents").select("doc_id", F.sort_array(R.flat_unique(nested)).alias("tags"))
+
+
+@query("""SELECT doc_id, lang, CASE WHEN trim(left(text, 1)) <> '' THEN left(text, 1) END AS head, CASE WHEN lang IS NULL THEN 0 ELSE 1 END + CASE WHEN trim(left(text, 1)) <> '' THEN 1 ELSE 0 END AS n_fields FROM documents""")
+def allowed_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """The fields allowed that hold anything (PRJ4)."""
+    rows = table(spark, sf, "documents").select("doc_id", R.kept_fields({"lang": F.col("lang"), "head": F.substring("text", 1, 1)}).alias("f"))
+    return rows.select("doc_id", F.col("f")["lang"].alias("lang"), F.col("f")["head"].alias("head"), F.size("f").alias("n_fields"))
+
+
+@query("SELECT doc_id FROM documents WHERE source LIKE '%1'")
+def provenance_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows whose source ends in a mark (FLT9, FLT1)."""
+    return table(spark, sf, "documents").filter(F.col("source").endswith("1")).select("doc_id")
+
+
+@query("""SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: round(x::DOUBLE * 1000) * round(x::DOUBLE * 1000))) / len(embedding)) / 32768, 8) AS rms FROM embeddings""")
+def block_loudness(spark: SparkSession, sf: str) -> DataFrame:
+    """Root mean square of blocks of 16-bit samples (AGG21)."""
+    samples = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(R.root_mean_square(samples), 8).alias("rms"))
+
+
+@query("""SELECT event_id, list_filter([CASE WHEN event_type = 'purchase' AND NOT value > 90 THEN 'completed' END, CASE WHEN value > 80 THEN 'overflow' END, CASE WHEN value > 90 THEN 'error' END], lambda x: x IS NOT NULL) AS sets FROM events""")
+def run_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """The sets, which may overlap, that a run belongs to (CLS10)."""
+    return table(spark, sf, "events").select("event_id", R.run_sets(F.col("event_type") == "purchase", F.col("value") > 80, F.col("value") > 90).alias("sets"))
+
+
+@query("""SELECT doc_id, CASE WHEN toxic = 1 THEN 'P0' WHEN quality = 0 OR doc_id % 100 < 10 THEN 'P1' ELSE 'P2' END AS priority FROM labels""")
+def review_priority(spark: SparkSession, sf: str) -> DataFrame:
+    """Which rows a person looks at first (CLS7)."""
+    return table(spark, sf, "labels").select("doc_id", R.review_priority(F.col("toxic") == 1, F.col("quality") == 0, F.col("doc_id") % 100, 10).alias("priority"))
+
+
+@query("""SELECT min(doc_id) AS doc_id, count(*) AS occurrences, count(DISTINCT source) > 1 AS conflict FROM documents GROUP BY text""")
+def dedup_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Equal texts once, told apart by whether their sources agree (PIP13)."""
+    docs = table(spark, sf, "documents")
+    return relational.exact_dedup_or_conflict(docs, F.col("text"), F.col("source"), "doc_id")
+
+
+@query("""WITH r AS (SELECT doc_id, lang, source, sha256('bank:' || doc_id) AS h, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('bank:' || doc_id), doc_id) AS k FROM documents),
+f AS (SELECT doc_id, lang, source, false AS refill FROM r WHERE k <= 2),
+s AS (SELECT doc_id, lang, source, true AS refill, row_number() OVER (ORDER BY h, doc_id) AS n FROM r WHERE k > 2)
+SELECT * FROM f UNION ALL SELECT doc_id, lang, source, refill FROM s WHERE n <= 180 - (SELECT count(*) FROM f)""")
+def balanced_bank(spark: SparkSession, sf: str) -> DataFrame:
+    """Two documents of each language and source, refilled by hash to 180 (PIP16, PIP15)."""
+    return relational.quota_bank(table(spark, sf, "documents").select("doc_id", "lang", "source"), ["lang", "source"], "doc_id", "bank", 2, 180)
+
+
+@query("""SELECT conv_id, turn, role, CAST(row_number() OVER (ORDER BY conv_id, turn, sha256(coalesce(text, ''))) AS BIGINT) AS place FROM conversations""")
+def canonical_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Places of all rows in a total order of keys and content hash (SRT2, WIN8): counts by range of the leading key give
+    where each range begins, so no task numbers all rows."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    counts = rows.groupBy(F.floor(F.col("conv_id") / 64).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select(F.col("part").alias("of_part"), F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inner = F.row_number().over(W.partitionBy("part").orderBy("conv_id", "turn", "h"))
+    numbered = rows.withColumn("part", F.floor(F.col("conv_id") / 64)).withColumn("inner", inner)
+    return numbered.join(before, F.col("part") == F.col("of_part")).select("conv_id", "turn", "role", (F.col("before") + F.col("inner")).cast("long").alias("place"))
