@@ -45,11 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder, deleted when the driver's Python ends."""
     path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    atexit.register(delete, spark, path)
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     """Deletes a path, wherever Spark keeps it; a session that has ended is past that."""
     try:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
