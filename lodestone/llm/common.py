@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
 import uuid
 import weakref
 from collections.abc import Iterable, Iterator
@@ -18,6 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import delete, shared_dir
+
 #: The contract's words: runs of anything but the ASCII blanks 0x20 and 0x09 to 0x0D.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 #: The sessions that wrote tables, with their paths; what is known of each table still in use.
@@ -25,29 +25,6 @@ _SESSIONS: dict[int, tuple[SparkSession, list[str]]] = {}
 _KEPT: weakref.WeakKeyDictionary[DataFrame, Kept] = weakref.WeakKeyDictionary()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a local session without that setting (a test) gets one of its own; on a cluster it must be set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="lodestone-")
-        atexit.register(shutil.rmtree, folder, True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    """Deletes a written table, wherever Spark keeps it; a session that has ended is past that."""
-    try:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    except Exception:  # noqa: BLE001  (the interpreter is going down, or the session is gone)
-        pass
-
-
 @dataclass(frozen=True)
 class Kept:
     """What is known of a written table: where it is, its rows, about how many bytes they take in memory, and what was
@@ -88,13 +65,13 @@ def forget(*tables: DataFrame) -> None:
     """Deletes tables that ``written`` made and that no later result reads."""
     for table in tables:
         if known := _KEPT.pop(table, None):
-            _delete(table.sparkSession, known.path)
+            delete(table.sparkSession, known.path)
 
 
 def _sweep() -> None:
     for spark, paths in _SESSIONS.values():
         for path in paths:
-            _delete(spark, path)
+            delete(spark, path)
 
 
 atexit.register(_sweep)
