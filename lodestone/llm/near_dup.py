@@ -32,6 +32,8 @@ from .common import forget, join_counted, kept, mix64, slices, small, written
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of sets, and of signatures, in a block.
 BLOCK_BYTES = 4 << 20
+#: Bytes of the sets that meet their leader in one place.
+STAR_BYTES = 256 << 10
 #: Members of buckets up to which all buckets are worked off at once.
 FEW = 1_000_000
 #: How far below the threshold the share of equal places must be for a pair not to be compared: of 252 places, it is at
@@ -297,7 +299,7 @@ class _Linker:
         votes = self.members.filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy("node").agg(F.max(F.struct("n", (-F.col("leader")).alias("before"))).alias("b")).select("node", (-F.col("b.before")).alias("leader"))
         star = written(best.join(self.payload.select("node", "n_shingles"), "node"), "stars")
-        parts = star.groupBy("leader").agg(F.greatest(F.ceil(8 * F.sum("n_shingles") / BLOCK_BYTES), F.lit(1)).cast("int").alias("parts"), F.count(F.lit(1)).alias("n"))
+        parts = star.groupBy("leader").agg(F.greatest(F.ceil(8 * F.sum("n_shingles") / STAR_BYTES), F.lit(1)).cast("int").alias("parts"), F.count(F.lit(1)).alias("n"))
         parts = written(parts.withColumnRenamed("leader", "of"), "parts")
         planets = join_counted(star, parts, F.col("leader") == F.col("of"), "n").select("node", "leader", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("block"))
         suns = parts.select(F.col("of").alias("node"), F.col("of").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
