@@ -26,3 +26,37 @@ o AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
 SELECT *, n_words < {min_words} OR n_repeat_words > {repeat} * n_words AS base_failed,
   NOT (n_words < {min_words} OR n_repeat_words > {repeat} * n_words) AND n_words - n_frequent_words >= greatest({left} * n_words, {min_words}) AS kept
 FROM o"""
+
+
+def fill_middle(table: str = "documents", plain: int = 10, suffix_first: int = 20) -> str:
+    """Fill-in-the-middle on lists of units, which the operator never makes."""
+    group = "CAST('0x' || substr(h, {0}, 8) AS BIGINT)"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM {table}),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units, {", ".join(f"{group.format(8 * i + 1)} AS h{i + 1}" for i in range(4))} FROM d),
+k AS (SELECT *, CAST(len(units) AS BIGINT) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b FROM u),
+p AS (SELECT doc_id, n, text, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= {100 - plain} THEN 'plain' WHEN h4 % 100 < {suffix_first} THEN 'spm' ELSE 'psm' END AS form,
+      array_to_string(list_slice(units, 1, a), '') AS prefix, array_to_string(list_slice(units, a + 1, b), '') AS middle, array_to_string(list_slice(units, b + 1, n), '') AS suffix FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p"""
+
+
+def spelling(table: str = "documents", every: int = 97, min_chars: int = 5, min_count: int = 3, ratio: int = 2) -> str:
+    """Spelling variants by words with one character taken out, which meet; crc32 by its table of bytes."""
+    return rf"""
+WITH RECURSIVE bits(byte, c, k) AS (SELECT b, b, 0 FROM range(256) t(b) UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY byte) AS steps FROM bits WHERE k = 8),
+r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM {table}) GROUP BY ALL),
+b AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM r),
+h AS (SELECT run, n, xor(list_reduce(list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)), lambda s, y: xor(s >> 8, steps[xor(s & 255, y) + 1]), 4294967295), 4294967295) AS h FROM b, crc),
+s AS (SELECT CASE WHEN h % {every} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= {min_chars} GROUP BY word HAVING sum(n) >= {min_count}),
+o AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM o a JOIN o b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT o.word, w.word, w.n FROM o JOIN w ON o.less = w.word UNION SELECT w.word, o.word, o.n FROM o JOIN w ON o.less = w.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {ratio} * w.n THEN other END AS form, CASE WHEN other_n >= {ratio} * w.n THEN other_n END AS form_n FROM w LEFT JOIN best USING (word)),
+way(word, root, form) AS (SELECT word, word, form FROM f UNION ALL SELECT way.word, way.form, f.form FROM way JOIN f ON f.word = way.form)
+SELECT f.word, f.form, way.root, f.n, f.n_near, f.form_n FROM f JOIN way ON way.word = f.word AND way.form IS NULL"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, lm_scoring, near_dup, oracles, packing, quality_rules, sharding, toxicity, weak_quality
+from . import byte_bpe, decontaminate, fill_middle, html_extract, language_id, lm_scoring, near_dup, oracles, packing, quality_rules, sharding, spelling, toxicity, weak_quality
 from .common import id_remainder, read
 
 
@@ -69,6 +69,29 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of all documents, there and back, with the 50k vocabulary of many languages."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = byte_bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    back = byte_bpe.decode(ids, ranks)
+    n = (F.octet_length("ids") / 4).cast("long")
+    return back.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle of all documents, and the texts restored from it."""
+    out = fill_middle.transform(read(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_shards": op2_shards,
@@ -80,5 +103,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontaminate": op10_decontaminate,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_spelling": op13_spelling,
+}
+ORACLE: dict[str, str] = {
+    "op1_quality_rules": oracles.quality_rules(),
+    "op12_fill_middle": oracles.fill_middle(),
+    "op13_spelling": oracles.spelling(),
 }
-ORACLE: dict[str, str] = {"op1_quality_rules": oracles.quality_rules()}
