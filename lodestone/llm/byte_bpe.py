@@ -29,7 +29,7 @@ from .common import slices
 #: Bytes from which a word's pairs are merged by a heap.
 LONG = 1000
 #: Bytes of words in one recursive query, and tokens of a text in one group of the decoding query.
-BLOCK, GROUP = 1024 << 10, 4096
+BLOCK, GROUP = 384 << 10, 4096
 _BOOKS: dict[str, _Book] = {}
 
 VOCABULARY = "CREATE TABLE vocabulary AS SELECT id, bytes FROM given ORDER BY id"
@@ -68,12 +68,12 @@ class _Book:
     """A vocabulary with its database. DuckDB has strings, not bytes, to cut and to put together: a byte is the
     character of its number (U+0000 to U+00FF)."""
 
-    def __init__(self, path: str, keep: int = 48 << 20):
+    def __init__(self, path: str, keep: int = 24 << 20):
         import duckdb
 
         self.ranks = read_ranks(path)
         # memory only: nothing may be left in an executor's own folders
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         self._given("given", id=pa.array(self.ranks.values(), pa.int32()), bytes=pa.array([t.decode("latin-1") for t in self.ranks]))
         self.db.execute(VOCABULARY)
         self.db.unregister("given")
@@ -186,9 +186,10 @@ def _pieces(texts: list[bytes | None], pattern, most: int = 1 << 18) -> Iterator
         yield piece
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
     """(id, ``ids``): each text's token ids, little-endian unsigned 32-bit integers in one binary value, as the ranks in
     the file ``ranks`` give them for each match of ``pattern`` apart. No special tokens; text that no match covers has no ids.
+    With ``back`` also ``bytes``, which ``decode`` would give for these ids, by the same worker and its one vocabulary.
 
     Null or empty text: no ids (an empty value). Null ids and repeated rows stay, each on its own; other columns are
     not read. Long texts are cut into words a piece at a time; a word of any length is encoded whole."""
@@ -197,16 +198,18 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
         import regex
 
         book, words = _book(ranks), regex.compile(pattern)
-        for batch, texts in slices(batches, "text", 4 << 20):
+        for batch, texts in slices(batches, "text"):
             ids = [[] for _ in texts]
             for piece in _pieces(texts, words):
                 known = book.learn(set().union(*(found for _, found in piece)))
                 for i, found in piece:
                     ids[i].append(b"".join(map(known.__getitem__, found)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b"".join(x) for x in ids], pa.binary())], names=["id", "ids"])
+            streams = [b"".join(x) for x in ids]
+            more = [pa.array(book.decoded(streams), pa.binary())] * back
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(streams, pa.binary()), *more], names=["id", "ids", "bytes"][: 2 + back])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids binary" + ", bytes binary" * back).withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, ranks: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -217,7 +220,7 @@ def decode(tokens: DataFrame, ranks: str, id_col: str = "doc_id", ids_col: str =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = _book(ranks)
         known = np.fromiter(book.ranks.values(), np.int64)
-        for batch, streams in slices(batches, "ids", 4 << 20):
+        for batch, streams in slices(batches, "ids"):
             streams = [s or b"" for s in streams]
             if len(strange := np.setdiff1d(np.frombuffer(b"".join(streams), "<u4"), known)):
                 raise ValueError(f"ids that the vocabulary does not have: {strange[:5].tolist()}")

@@ -74,8 +74,7 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = byte_bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    back = byte_bpe.decode(ids, ranks)
+    back = byte_bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, back=True)
     n = (F.octet_length("ids") / 4).cast("long")
     return back.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 

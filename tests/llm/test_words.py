@@ -30,6 +30,8 @@ def library():
 
 def round_trip(docs):
     ids = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    at_once = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, back=True)
+    assert sorted(map(repr, at_once.collect())) == sorted(map(repr, byte_bpe.decode(ids, RANKS).collect()))
     return [(r.doc_id, np.frombuffer(r.ids, "<u4").tolist(), bytes(r.bytes)) for r in byte_bpe.decode(ids, RANKS).collect()]
 
 
