@@ -65,11 +65,11 @@ def stream_running_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions by event time with a watermark; open ones at the end are left out (STM5, STM6)."""
+    """Sessions by event time with a watermark; open ones at the end are left out (STM5)."""
     return S.session_windows(spark, f"{sf}/events.parquet")
 
 
 @query()
 def stream_state_machine(spark: SparkSession, sf: str) -> DataFrame:
-    """Epochs and repeated reads of each user's stream, kept in state (STM7, STM8)."""
+    """Epochs and repeated reads of each user's stream, kept in state (STM8)."""
     return S.epochs(spark, f"{sf}/events.parquet")

@@ -16,13 +16,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..session import scratch
 
 
-def source(spark: SparkSession, path: str) -> DataFrame:
-    """The files of a table as a stream, with event time as a timestamp."""
+def table(spark: SparkSession, path: str, batch_bytes: int = 256 << 20) -> DataFrame:
+    """The files of a table as a stream; a micro-batch takes files of some ``batch_bytes``, one at least."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
-    reader = spark.readStream.schema(schema)
-    stream = reader.option("pathGlobFilter", name).parquet(folder) if _is_file(spark, path) else reader.parquet(path)
-    return stream.withColumn("at", F.col("ts").cast("timestamp"))
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(batch_bytes))
+    return reader.option("pathGlobFilter", name).parquet(folder) if _is_file(spark, path) else reader.parquet(path)
+
+
+def source(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a table as a stream, with event time as a timestamp."""
+    return table(spark, path).withColumn("at", F.col("ts").cast("timestamp"))
 
 
 def _is_file(spark: SparkSession, path: str) -> bool:
@@ -31,13 +35,13 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return first is not None and first[0].rsplit("/", 1)[-1] == path.rsplit("/", 1)[-1]
 
 
-def finished(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def finished(stream: DataFrame, keys: list[str] | None = None, log: str | None = None) -> DataFrame:
     """Runs an append stream to its end and reads what it wrote. With ``keys`` the stream is in update mode, and the last
-    row of each key (by batch) stands."""
+    row of each key (by batch) stands. ``log``: the checkpoint's place, if it is to be kept."""
     spark, base = stream.sparkSession, scratch(stream.sparkSession, "stream")
     out = f"{base}/table"
     if keys is None:
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{base}/log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", log or f"{base}/log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(out)
 
     def keep(batch: DataFrame, number: int) -> None:  # a batch that runs again overwrites itself
