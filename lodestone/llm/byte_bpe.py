@@ -3,12 +3,12 @@
 Texts are cut by the vocabulary's pattern. The words that a worker has not seen lately become rows
 (word, position, token), a token for each byte, and a recursive query joins neighbouring tokens with
 the merge table: each round contracts every word's pair of the least rank (the leftmost of equal
-ones), until none can be merged. A word that is a token itself has that one id. The merge table
+ones), until none can be merged. Word and position are one number, so that a round sorts once. A word that is a token itself has that one id. The merge table
 comes from the ranks: every cut of a token into two tokens. Decoding joins ids with the vocabulary
 and puts the bytes together by ordered aggregation.
 
 A round reads a word's rows once and takes away one of them, so a word of n bytes costs about n * n
-row visits. Words of over ``LONG`` bytes (lines of dashes, sequences of letters, encoded files) are
+row visits. Words of over ``LONG`` characters (lines of dashes, sequences of letters, encoded files) are
 therefore merged by a heap of their pairs, in the same order of rank and place.
 """
 
@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Bytes from which a word's pairs are merged by a heap.
+#: Characters from which a word's pairs are merged by a heap.
 LONG = 1000
-#: Bytes of words in one recursive query, and tokens of a text in one group of the decoding query.
-BLOCK, GROUP = 384 << 10, 4096
+#: Characters of words in one recursive query, and tokens of a text in one group of the decoding query.
+BLOCK, GROUP = 768 << 10, 4096
 _BOOKS: dict[str, _Book] = {}
 
 VOCABULARY = "CREATE TABLE vocabulary AS SELECT id, bytes FROM given ORDER BY id"
@@ -37,21 +37,24 @@ MERGES = """CREATE TABLE merges AS
 WITH cuts AS (SELECT id, bytes, unnest(range(1, length(bytes))) AS k FROM vocabulary)
 SELECT a.id AS first, b.id AS second, cuts.id AS merged
 FROM cuts JOIN vocabulary a ON a.bytes = left(cuts.bytes, k) JOIN vocabulary b ON b.bytes = substr(cuts.bytes, k + 1)"""
-ENCODE = """WITH RECURSIVE state(word, pos, token, final) AS (
-    SELECT word, pos, v.id, false
+ENCODE = """WITH RECURSIVE state(spot, token, final) AS (
+    SELECT word::BIGINT << 32 | pos, v.id, false
     FROM (SELECT word, bytes, unnest(range(1, length(bytes) + 1)) AS pos FROM words) w JOIN vocabulary v ON v.bytes = w.bytes[pos]
   UNION ALL (
     WITH near AS (
-      SELECT word, pos, token, lead(token) OVER line AS next_token, lag(pos) OVER line AS last_pos
-      FROM state WHERE NOT final WINDOW line AS (PARTITION BY word ORDER BY pos)),
-    pairs AS (SELECT near.*, merged FROM near LEFT JOIN merges ON first = token AND second = next_token),
+      SELECT spot, token, lead(token) OVER line AS next_token, lead(spot) OVER line AS next_spot, lag(spot) OVER line AS last_spot
+      FROM state WHERE NOT final WINDOW line AS (ORDER BY spot)),
+    pairs AS (
+      SELECT near.*, merged
+      FROM near LEFT JOIN merges ON first = token AND second = next_token AND next_spot >> 32 = spot >> 32),
     least AS (
-      SELECT word, min(merged) AS merged, arg_min(pos, merged::BIGINT << 32 | pos) AS place
-      FROM pairs WHERE merged IS NOT NULL GROUP BY word)
-    SELECT p.word, pos, CASE WHEN pos = place THEN least.merged ELSE token END, place IS NULL
-    FROM pairs p LEFT JOIN least ON p.word = least.word
-    WHERE place IS NULL OR last_pos IS DISTINCT FROM place))
-SELECT word, token FROM state WHERE final ORDER BY word, pos"""
+      SELECT spot >> 32 AS word, min(merged::BIGINT << 32 | (spot & 4294967295)) AS found
+      FROM pairs WHERE merged IS NOT NULL GROUP BY spot >> 32),
+    chosen AS (SELECT word << 32 | (found & 4294967295) AS place, word, (found >> 32)::INTEGER AS merged FROM least)
+    SELECT spot, CASE WHEN spot = place THEN chosen.merged ELSE token END, place IS NULL
+    FROM pairs LEFT JOIN chosen ON spot >> 32 = word
+    WHERE place IS NULL OR last_spot IS DISTINCT FROM place))
+SELECT spot >> 32 AS word, token FROM state WHERE final ORDER BY spot"""
 DECODE = """SELECT part, array_to_string(list(bytes ORDER BY pos), '') AS bytes
 FROM tokens JOIN vocabulary ON id = token GROUP BY part ORDER BY part"""
 
@@ -68,7 +71,7 @@ class _Book:
     """A vocabulary with its database. DuckDB has strings, not bytes, to cut and to put together: a byte is the
     character of its number (U+0000 to U+00FF)."""
 
-    def __init__(self, path: str, keep: int = 24 << 20):
+    def __init__(self, path: str, keep: int = 64 << 20):
         import duckdb
 
         self.ranks = read_ranks(path)
@@ -124,33 +127,22 @@ class _Book:
         in two generations of bounded size."""
         if self.size > self.keep:
             self.old, self.young, self.size = self.young, {}, 0
-        known, todo, size = self.young, [], 0
-        for word in words - known.keys():
-            ids = self.old.get(word)
-            if ids is None:
-                raw = word.encode()
-                if raw in self.ranks:
-                    ids = struct.pack("<I", self.ranks[raw])
-                elif len(raw) > LONG:
-                    ids = self._heaped(raw)
-                else:
-                    todo.append(word)
-                    size += len(raw)
-                    if size > BLOCK:
-                        self._keep(self._contract(todo))
-                        todo, size = [], 0
-                    continue
-            self._keep([(word, ids)])
-        if todo:
-            self._keep(self._contract(todo))
-        return known
+        new = words - self.young.keys()
+        self._keep([(w, self.old[w]) for w in new & self.old.keys()])
+        new -= self.old.keys()
+        self._keep([(w, struct.pack("<I", rank)) for w in new if (rank := self.ranks.get(w.encode())) is not None])
+        self._keep([(w, self._heaped(w.encode())) for w in new if len(w) > LONG])
+        todo = list(new - self.young.keys())
+        blocks = np.cumsum([len(w) for w in todo]) // BLOCK
+        for at in np.split(np.arange(len(todo)), np.flatnonzero(np.diff(blocks)) + 1):
+            if len(at):
+                self._keep(self._contract(todo[at[0] : at[-1] + 1]))
+        return self.young
 
     def _keep(self, found: Iterable[tuple[str, bytes]]) -> None:
-        size = 0
-        for word, ids in found:
-            self.young[word] = ids
-            size += len(word) + len(ids) + 160
-        self.size += size
+        found = dict(found)
+        self.young |= found
+        self.size += sum(map(len, found)) + sum(map(len, found.values())) + 160 * len(found)
 
     def decoded(self, streams: list[bytes]) -> list[bytes]:
         """The bytes of each stream of ids."""
@@ -171,12 +163,19 @@ def _book(path: str) -> _Book:
     return _BOOKS[path]
 
 
+def _batches(matches: Iterator, most: int) -> Iterator[list[str]]:
+    while words := [m.group() for m in islice(matches, most)]:
+        yield words
+
+
 def _pieces(texts: list[bytes | None], pattern, most: int = 1 << 18) -> Iterator[list[tuple[int, list[str]]]]:
     """The words of texts with the text's number, some ``most`` words at a time."""
     piece, size = [], 0
     for i, raw in enumerate(texts):
-        found = pattern.finditer((raw or b"").decode("utf-8", "replace"))
-        while words := [m.group() for m in islice(found, most)]:
+        text = (raw or b"").decode("utf-8", "replace")
+        # a text of so many characters at most has no more words
+        found = iter([pattern.findall(text)]) if len(text) <= most else _batches(pattern.finditer(text), most)
+        for words in found:
             piece.append((i, words))
             size += len(words)
             if size >= most:
@@ -188,7 +187,8 @@ def _pieces(texts: list[bytes | None], pattern, most: int = 1 << 18) -> Iterator
 
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
     """(id, ``ids``): each text's token ids, little-endian unsigned 32-bit integers in one binary value, as the ranks in
-    the file ``ranks`` give them for each match of ``pattern`` apart. No special tokens; text that no match covers has no ids.
+    the file ``ranks`` give them for each match of ``pattern`` apart. No special tokens; text that no match covers has no ids;
+    the pattern has no groups.
     With ``back`` also ``bytes``, which ``decode`` would give for these ids, by the same worker and its one vocabulary.
 
     Null or empty text: no ids (an empty value). Null ids and repeated rows stay, each on its own; other columns are
@@ -198,7 +198,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
         import regex
 
         book, words = _book(ranks), regex.compile(pattern)
-        for batch, texts in slices(batches, "text"):
+        for batch, texts in slices(batches, "text", 4 << 20):
             ids = [[] for _ in texts]
             for piece in _pieces(texts, words):
                 known = book.learn(set().union(*(found for _, found in piece)))
