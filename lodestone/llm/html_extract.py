@@ -15,7 +15,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +36,9 @@ ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 NAMES = 1 << 14
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never shown as text of the page.
-HIDDEN = frozenset("head template noscript svg math object select datalist button canvas audio video map".split())
+HIDDEN = frozenset("head template noscript svg annotation annotation-xml object select datalist button canvas audio video map".split())
+#: Blocks of running text. A button that stands in the middle of it is part of it; any other is a control.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li dd td th blockquote figcaption".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary caption table tbody td tfoot th thead tr ul".split()
 )
@@ -59,9 +61,13 @@ class Page:
     leaf: list[bool] = field(default_factory=list)
 
 
-@cache
 def _name_features(names: str) -> tuple[str, ...]:
-    """Hashed words of an element's names, and hashed runs of four letters, which words of other languages share."""
+    """Hashed words of an element's names, and hashed runs of four letters, which words of other languages share. Those
+    of short names are kept, some thousands of them; long lists of names are seldom the same twice."""
+    return _short_name_features(names) if len(names) <= 256 else _hashed_names(names)
+
+
+def _hashed_names(names: str) -> tuple[str, ...]:
     out = set()
     for word in WORDS.findall(CASE.sub(" ", names).lower()):
         out.add(f"name {zlib.crc32(word.encode()) % NAMES}")
@@ -70,9 +76,12 @@ def _name_features(names: str) -> tuple[str, ...]:
     return tuple(sorted(out))
 
 
+_short_name_features = lru_cache(maxsize=1 << 14)(_hashed_names)
+
+
 def _element_features(tag: str, attrs: dict[str, str], within: set[str]) -> list[str]:
     names = " ".join(attrs.get(a, "") for a in NAMING)
-    out = ["bias", f"tag={tag}", *(_name_features(names) if len(names) < 200 else ())]
+    out = ["bias", f"tag={tag}", *_name_features(names)]
     if tag in ("header", "footer"):
         out.append(f"{tag} in article={'article' in within}")
     return out
@@ -142,6 +151,8 @@ def parse(source: str) -> Page:
             continue
         if tag in VOID or not (tag in BLOCKS or tag in HIDDEN):
             continue
+        if tag == "button" and (not any(s[0] == "button" for s in stack) if closing else bool(stack) and stack[-1][0] in RUNNING and any(x.strip() for x in parts)):
+            continue
         flush()
         if closing:
             for k in range(len(stack) - 1, -1, -1):
