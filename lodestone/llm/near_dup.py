@@ -32,6 +32,9 @@ from .common import forget, join_counted, kept, mix64, slices, small, written
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of sets, and of signatures, in a block.
 BLOCK_BYTES = 4 << 20
+#: What a row of a block counts for at least, so that blocks of small sets are bounded by rows (2,048): each pair of rows
+#: takes a place in a matrix.
+ROW_BYTES = 2048
 #: Bytes of the sets that meet their leader in one place.
 STAR_BYTES = 256 << 10
 #: Members of buckets up to which all buckets are worked off at once.
@@ -204,15 +207,13 @@ def links_of_block(ids: np.ndarray, groups: np.ndarray, probe: np.ndarray, sets:
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     common = np.zeros((n, n), np.float32)
-    step = 8192
+    step = 4096
     for at in range(0, width, step):
         lo, hi = np.searchsorted(column, [at, at + step])
         part = np.zeros((n, min(step, width - at)), np.float32)
         part[owner[lo:hi], column[lo:hi] - at] = 1
         common += part @ part.T
     size = np.array([len(s) for s in sets], np.float64)
-    union = size[:, None] + size[None, :] - common
-    linked = (100 * common.astype(np.float64) >= threshold * union) & (groups[:, None] != groups[None, :]) & (probe[:, None] | probe[None, :])
     root = {}
 
     def find(x: int) -> int:
@@ -222,11 +223,15 @@ def links_of_block(ids: np.ndarray, groups: np.ndarray, probe: np.ndarray, sets:
         return x
 
     forest = []
-    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-        a, b = find(groups[i]), find(groups[j])
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            forest.append((int(groups[i]), int(groups[j])))
+    for at in range(0, n, 256):
+        rows = slice(at, at + 256)
+        both = common[rows].astype(np.float64)
+        linked = (100 * both >= threshold * (size[rows, None] + size[None, :] - both)) & (groups[rows, None] != groups[None, :]) & (probe[rows, None] | probe[None, :])
+        for i, j in zip(*np.nonzero(np.triu(linked, at + 1)), strict=True):
+            a, b = find(groups[at + i]), find(groups[j])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                forest.append((int(groups[at + i]), int(groups[j])))
     return forest
 
 
@@ -316,7 +321,7 @@ class _Linker:
         """Compares the members of the buckets that meet a condition, across groups."""
         part = self.members.filter(buckets).join(self.payload.select("node", "n_shingles"), "node")
         roots = self.groups.select(F.col("node").alias("n"), "root")
-        part = written(part.join(roots, F.col("node") == F.col("n"), "left").select("bucket", "node", F.coalesce("root", "node").alias("grp"), (8 * F.col("n_shingles")).alias("bytes"), F.lit(1024).cast("long").alias("mark")), "wave")
+        part = written(part.join(roots, F.col("node") == F.col("n"), "left").select("bucket", "node", F.coalesce("root", "node").alias("grp"), F.greatest(8 * F.col("n_shingles"), F.lit(ROW_BYTES)).alias("bytes"), F.lit(1024).cast("long").alias("mark")), "wave")
         least, threshold = self.threshold / 100 - MARGIN, self.threshold
 
         def look(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:

@@ -658,3 +658,61 @@ def test_pipeline_keeps_whole_documents(spark, data):
     for i in left:
         own = [r for r in rows if r.doc_id == i]
         assert sum(r.length for r in own) == own[0].doc_tokens
+
+
+def test_names_count_whatever_their_length():
+    article = "".join(f"<p>{prose(i, 60)}.</p>" for i in range(5))
+    comments = "".join(f"<div class=comment><p>{prose(50 + i, 25)}.</p></div>" for i in range(2))
+    page = "<body><article>{0}</article><section class='comments {1}'><h3>Comments</h3>{2}</section></body>"
+    model = html_extract.default_model()
+    short = model.text(page.format(article, "", comments))
+    for pad in (200, 300, 5000):
+        utility = " ".join(f"px-{i}" for i in range(pad // 5))
+        assert model.text(page.format(article, utility, comments)) == short
+    assert prose(50, 25) not in short and prose(4, 60) in short
+
+
+def test_formulas_and_buttons_inside_running_text_are_text():
+    model = html_extract.default_model()
+    body = "".join(f"<p>{prose(i, 60)}.</p>" for i in range(4))
+    page = f"<article>{body}<p>The area is <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>a + b</annotation></math> at the end of all this.</p><p>Press the <button>Save</button> button and wait for a while.</p><button>Share</button></article>"
+    text = model.text(page)
+    assert "The area is a+b at the end of all this." in text and "Press the Save button and wait for a while." in text and "Share" not in text
+
+
+def test_a_very_long_page_is_read_whole():
+    parts = [prose(i, 400) for i in range(40)]
+    page = "<article>" + "".join(f"<p>{p}.</p>" for p in parts * 30) + "</article>"
+    assert html_extract.default_model().text(page) == " ".join(f"{p}." for p in parts * 30)
+
+
+def test_blocks_of_many_small_sets_are_bounded_by_rows(spark):
+    rows = [(7, n, n % 3, 8 * 9) for n in range(20_000)]
+    part = common.written(spark.createDataFrame(rows, "bucket long, node long, grp long, n long").withColumn("bytes", F.greatest("n", F.lit(near_dup.ROW_BYTES))), "part")
+    met = near_dup.dealt(part, "bytes", near_dup.BLOCK_BYTES).groupBy("bucket", "i", "j", "vs_main").count()
+    most = near_dup.BLOCK_BYTES // near_dup.ROW_BYTES
+    assert met.agg(F.max("count")).first()[0] <= 2 * 1.15 * most and most <= 2048
+
+
+def test_links_of_many_small_sets_need_little_memory():
+    import resource
+
+    r = np.random.default_rng(3)
+    base = np.arange(9, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([base[: r.integers(6, 10)], r.integers(100, 10**9, 2).astype(np.uint64)])) for _ in range(3000)]
+    groups = np.arange(3000)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = near_dup.links_of_block(groups, groups, np.ones(3000, bool), sets, 60)
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) < 400 << 10
+    root = list(range(3000))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in got:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    some = range(0, 3000, 60)
+    linked = [(i, j) for i in some for j in some if i < j and 100 * len(np.intersect1d(sets[i], sets[j])) >= 60 * len(np.union1d(sets[i], sets[j]))]
+    assert linked and all(find(i) == find(j) for i, j in linked) and len(got) == 3000 - len({find(i) for i in range(3000)})
