@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+from .ordering import ranked
+
 # --- graph -------------------------------------------------------------------------------------------------------
 
 
@@ -95,11 +98,13 @@ def first_wins(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 
 def merged_sources(sources: list[DataFrame], key: list[str], order: list[str], last: bool = False) -> DataFrame:
-    """Rows of several sources, one for each key: the earliest source and place wins, or the latest if ``last``."""
+    """Rows of several sources, one for each key: the earliest source and place wins, or the latest if ``last``. Keys meet by
+    their hash, and each task sends one row of a key."""
     tagged = [df.withColumn("source_rank", F.lit(i)) for i, df in enumerate(sources)]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    order_by = [F.col(c).desc() if last else F.col(c) for c in ("source_rank", *order)]
-    return first_wins(union, key, order_by)
+    pick = F.max_by if last else F.min_by
+    best = pick(F.struct(*union.columns), F.struct("source_rank", *order)).alias("__row")
+    return union.groupBy(F.sha2(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}), 256).alias("__key")).agg(best).select("__row.*")
 
 
 def namespaced(sources: list[DataFrame], id_col: str) -> DataFrame:
@@ -118,15 +123,23 @@ def tail(df: DataFrame, key: str, order: str, k: int) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).filter(F.col("__n") <= k).drop("__n")
 
 
+def placed(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+    """``df`` with the place ``out`` of each row in its group, from 1, by ranges of one total order; no group is in one task."""
+    rows = ranked(df, [*map(F.col, group), *map(F.col, order)], "__rank")
+    firsts = rows.groupBy(*[F.col(c).alias(f"__of_{c}") for c in group]).agg(F.min("__rank").alias("__first"))
+    joined = rows.join(firsts, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in group]))
+    return joined.select(*df.columns, (F.col("__rank") - F.col("__first") + 1).alias(out))
+
+
 def round_robin(df: DataFrame, group: str, order: list[str], batch: int) -> DataFrame:
     """Rows interleaved over the groups, cut into batches: adds ``place`` (in the group) and ``batch``.
 
-    Batches follow from each row's place and the group sizes (few rows), so no task orders the whole table."""
-    placed = df.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(*order)).cast("long"))
+    Batches follow from each row's place and the group sizes (few rows), so no task orders the whole table or a group."""
+    rows = placed(df, [group], order, "place")
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size")).select(F.col(group).alias("__g"), "size")
     levels = F.broadcast(sizes.agg(F.sort_array(F.collect_list(F.struct("__g", "size"))).alias("sizes")))  # one row, an entry for each group
     before = F.expr(f"aggregate(sizes, 0L, (acc, s) -> acc + least(s.size, place - 1) + if(s.__g < {group} AND s.size >= place, 1L, 0L))")
-    return placed.join(levels, F.lit(True)).withColumn("batch", F.floor(before / batch)).drop("sizes")
+    return rows.join(levels, F.lit(True)).withColumn("batch", F.floor(before / batch)).drop("sizes")
 
 
 def largest_remainder(weights: DataFrame, key: str, weight: str, total: int) -> DataFrame:
@@ -181,8 +194,10 @@ def quota_bank(df: DataFrame, stratum: list[str], id_col: str, seed: str, each:
 
     The second step is a top n of hashes, which tasks prune before they send rows."""
     order = [F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), 256), F.col(id_col)]
-    ranked = df.withColumn("__place", F.row_number().over(W.partitionBy(*stratum).orderBy(*order)))
-    first = ranked.filter(F.col("__place") <= each).drop("__place").withColumn("refill", F.lit(False))
+    place = F.row_number().over(W.partitionBy(*stratum).orderBy(*order))
+    # tasks keep the first of each stratum and send no others
+    first = written(df.withColumn("__place", place).filter(F.col("__place") <= each).drop("__place"), "bank")
     room = max(total - first.count(), 0)
-    rest = ranked.filter(F.col("__place") > each).drop("__place").orderBy(*order).limit(room).withColumn("refill", F.lit(True))
-    return first.unionByName(rest)
+    taken = first.select(F.col(id_col).alias("__taken"))
+    rest = df.join(taken, F.col(id_col) == F.col("__taken"), "left_anti").orderBy(*order).limit(room)
+    return first.withColumn("refill", F.lit(False)).unionByName(rest.withColumn("refill", F.lit(True)))

@@ -181,10 +181,15 @@ SELECT event_type, max(CASE WHEN r = CAST(ceil(0.95 * n) AS BIGINT) THEN value E
 (SELECT round(quantile_cont(e.value, 0.95), 6) FROM events e WHERE e.event_type = s.event_type) AS linear FROM s GROUP BY event_type""")
 def percentile_variants(spark: SparkSession, sf: str) -> DataFrame:
     """Three 95th percentiles: nearest rank, rounded index, interpolated (AGG9-11)."""
-    w = W.partitionBy("event_type")
-    ranked = table(spark, sf, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
+    events = table(spark, sf, "events").select("event_type", "value")
+    rows = R.placed(events, ["event_type"], ["value"], "r")
+    sizes = events.groupBy(F.col("event_type").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(F.broadcast(sizes), F.col("event_type").eqNullSafe(F.col("of")))  # a row for each type
     at = lambda rank: F.max(F.when(F.col("r") == rank, F.col("value")))
-    return ranked.groupBy("event_type").agg(at(F.ceil(0.95 * F.col("n"))).alias("nearest"), at(F.floor((F.col("n") - 1) * 0.95 + 0.5) + 1).alias("rounded"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("linear"))
+    place = (F.col("n") - 1) * 0.95
+    below, above, part = at(F.floor(place) + 1), at(F.ceil(place) + 1), F.max(place - F.floor(place))
+    linear = F.round(below + part * (above - below), 6)
+    return rows.groupBy("event_type").agg(at(F.ceil(0.95 * F.col("n"))).alias("nearest"), at(F.floor(place + 0.5) + 1).alias("rounded"), linear.alias("linear"))
 
 
 @query("""SELECT event_type, count(*) AS runs, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS BIGINT) AS slow, round(avg(CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS slow_rate, count(DISTINCT user_id) AS users FROM events GROUP BY ROLLUP(event_type)""")

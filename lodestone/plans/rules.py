@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import relational, retrieval
+from ..operators.ordering import ranked
 from .registry import query, table
 
 #: Small rule tables in the shape of a consultation's, over the words that the tables have.
@@ -192,7 +192,7 @@ def review_priority(spark: SparkSession, sf: str) -> DataFrame:
 def dedup_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     """Equal texts once, told apart by whether their sources agree (PIP13)."""
     docs = table(spark, sf, "documents")
-    return relational.exact_dedup_or_conflict(docs, F.col("text"), F.col("source"), "doc_id")
+    return relational.exact_dedup_or_conflict(docs, F.sha2("text", 256), F.col("source"), "doc_id")
 
 
 @query("""WITH r AS (SELECT doc_id, lang, source, sha256('bank:' || doc_id) AS h, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('bank:' || doc_id), doc_id) AS k FROM documents),
@@ -206,11 +206,7 @@ def balanced_bank(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT conv_id, turn, role, CAST(row_number() OVER (ORDER BY conv_id, turn, sha256(coalesce(text, ''))) AS BIGINT) AS place FROM conversations""")
 def canonical_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Places of all rows in a total order of keys and content hash (SRT2, WIN8): counts by range of the leading key give
-    where each range begins, so no task numbers all rows."""
+    """Places of all rows in a total order of keys and content hash (SRT2, WIN8), by ranges of that order."""
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    counts = rows.groupBy(F.floor(F.col("conv_id") / 64).alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select(F.col("part").alias("of_part"), F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inner = F.row_number().over(W.partitionBy("part").orderBy("conv_id", "turn", "h"))
-    numbered = rows.withColumn("part", F.floor(F.col("conv_id") / 64)).withColumn("inner", inner)
-    return numbered.join(before, F.col("part") == F.col("of_part")).select("conv_id", "turn", "role", (F.col("before") + F.col("inner")).cast("long").alias("place"))
+    numbered = ranked(rows, [F.col("conv_id"), F.col("turn"), F.col("h")], "rank")
+    return numbered.select("conv_id", "turn", "role", (F.col("rank") + 1).alias("place"))
