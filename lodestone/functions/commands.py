@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,12 +28,18 @@ NAME_WORDS = ["tool_call", "skill_call", "judge", "param", "text", "name"]
 KIND = "struct<kind:string,name:string,params:map<string,string>,confidence:double>"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used: it is the one element of a list."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _nearest(word: Column, choices: list[tuple[str, str]], most: int = 2) -> Column:
     """(dist, i, is): the first of the choices (spelling, what it stands for) with the fewest edits from ``word``; null
     above ``most``."""
     each = [F.struct(F.levenshtein(word, F.lit(spelling)).alias("dist"), F.lit(i).alias("i"), F.lit(what).alias("is")) for i, (spelling, what) in enumerate(choices)]
-    best = F.array_min(F.array(*each)) if each else F.lit(None).cast("struct<dist:int,i:int,is:string>")
-    return F.when(best["dist"] <= most, best)
+    if not each:
+        return F.lit(None).cast("struct<dist:int,i:int,is:string>")
+    return _bound(F.array_min(F.array(*each)), lambda best: F.when(best["dist"] <= most, best))
 
 
 def _plain(alias: str) -> str:
@@ -40,10 +48,13 @@ def _plain(alias: str) -> str:
 
 def kind_of(word: Column) -> Column:
     """The kind that a word stands for: a spelling of it, with or without its marks, or the nearest within two edits."""
-    clean = F.replace(F.replace(F.lower(word), F.lit(" "), F.lit("_")), F.lit("-"), F.lit(""))
     whole = [(a, kind) for kind, names in ALIASES.items() for a in names]
-    exact = F.coalesce(*[F.when(clean.isin(a, _plain(a)), F.lit(kind)) for a, kind in whole])
-    return F.coalesce(exact, _nearest(clean, [(_plain(a), kind) for a, kind in whole])["is"])
+
+    def of(clean: Column) -> Column:
+        exact = F.coalesce(*[F.when(clean.isin(*{x for a in names for x in (a, _plain(a))}), F.lit(kind)) for kind, names in ALIASES.items()])
+        return F.coalesce(exact, _nearest(clean, [(_plain(a), kind) for a, kind in whole])["is"])
+
+    return _bound(F.replace(F.replace(F.lower(word), F.lit(" "), F.lit("_")), F.lit("-"), F.lit("")), of)
 
 
 def _registered(name: Column, kind: Column, tools: list[str], skills: list[str]) -> Column:
@@ -81,11 +92,17 @@ def parsed(text: Column, tools: list[str], skills: list[str]) -> Column:
     values = F.concat(_pairs(body, PARAM_LOOSE, LOOSE_WORDS), _pairs(body, PARAM_STRICT, []), _pairs(body, PARAM_ARRAY, []))
     strict = F.when(text.rlike(STRICT), command(F.lower(F.regexp_extract(text, STRICT, 1)), F.regexp_extract(text, STRICT, 2), values, F.lit(0.95)))
 
-    kind = kind_of(F.regexp_extract(text, LOOSE, 1))
-    name = _registered(F.trim(F.regexp_extract(text, LOOSE, 2)), kind, tools, skills)
-    known = ((kind == "tool_call") & name.isin(*tools)) | ((kind == "skill_call") & name.isin(*skills))
     values = _pairs(inner(F.regexp_extract(text, LOOSE, 3)), PARAM_LOOSE, LOOSE_WORDS)
-    loose = F.when(text.rlike(LOOSE) & kind.isNotNull(), command(kind, name, values, F.when(known, 0.85).otherwise(0.75)))
+
+    def named(kind: Column, name: Column) -> Column:
+        known = ((kind == "tool_call") & name.isin(*tools)) | ((kind == "skill_call") & name.isin(*skills))
+        return command(kind, name, values, F.when(known, 0.85).otherwise(0.75))
+
+    def spelled(kind: Column) -> Column:
+        name = _registered(F.trim(F.regexp_extract(text, LOOSE, 2)), kind, tools, skills)
+        return F.when(kind.isNotNull(), _bound(name, lambda n: named(kind, n)))
+
+    loose = F.when(text.rlike(LOOSE), _bound(kind_of(F.regexp_extract(text, LOOSE, 1)), spelled))
 
     low = F.lower(text)
 
@@ -99,8 +116,13 @@ def parsed(text: Column, tools: list[str], skills: list[str]) -> Column:
     near = F.array_min(F.array(*spots))
     quoted = F.regexp_extract_all(text, F.lit(QUOTED), 1)
     first = F.coalesce(F.get(F.filter(quoted, lambda q: ~q.isin(*NAME_WORDS)), F.lit(0)), F.get(quoted, F.lit(0)), F.regexp_extract(text, AFTER, 1))
-    name = _registered(first, near["is"], tools, skills)
-    sure = F.greatest(F.lit(0.3), 0.6 - near["dist"] * 0.1) + F.when(name.isin(*tools, *skills), 0.2).otherwise(0.0)
-    guess = F.when(near["dist"] <= 2, command(near["is"], name, _pairs(text, PARAM_GUESS, GUESS_WORDS), F.round(F.least(sure, F.lit(0.9)), 6)))
+
+    def guessed(near: Column) -> Column:
+        bonus = lambda name: F.when(name.isin(*tools, *skills), 0.2).otherwise(0.0)
+        sure = lambda name: F.round(F.least(F.greatest(F.lit(0.3), 0.6 - near["dist"] * 0.1) + bonus(name), F.lit(0.9)), 6)
+        values = _pairs(text, PARAM_GUESS, GUESS_WORDS)
+        return F.when(near["dist"] <= 2, _bound(_registered(first, near["is"], tools, skills), lambda name: command(near["is"], name, values, sure(name))))
+
+    guess = _bound(near, guessed)
     unknown = F.struct(F.lit("unknown"), F.lit(""), F.create_map().cast("map<string,string>"), F.lit(0.0)).cast(KIND)
     return F.coalesce(strict, loose, guess, unknown)
