@@ -51,7 +51,9 @@ def token_usage_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return E.token_rollup(table(spark, sf, "conversations"), "conv_id", T.token_estimate("text"), limit=300)
 
 
-@query()
+@query("""WITH t AS (SELECT conv_id, turn, string_split(text, ' ') AS k FROM conversations), p AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM t),
+m AS (SELECT *, nullif(list_position(list_transform(range(1, least(len(k), len(b)) + 1), lambda i: k[i] = b[i]), false), 0) AS gap FROM p)
+SELECT conv_id, turn, CAST(len(k) AS BIGINT) AS n_tokens, CAST(CASE WHEN b IS NULL THEN 0 ELSE coalesce(gap - 1, least(len(k), len(b))) END AS BIGINT) AS shared FROM m""")
 def shared_prefixes(spark: SparkSession, sf: str) -> DataFrame:
     """Words that each turn shares at its start with the one before (WIN10, STM11)."""
     return E.shared_prefix(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", F.split("text", " ")).drop("text")
@@ -63,13 +65,19 @@ def stream_running_totals(spark: SparkSession, sf: str) -> DataFrame:
     return S.running_totals(spark, f"{sf}/events.parquet")
 
 
-@query()
+@query("""WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM m)
+SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS ended, count(*) AS n_events FROM s GROUP BY user_id, session HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions by event time with a watermark; open ones at the end are left out (STM5)."""
-    return S.session_windows(spark, f"{sf}/events.parquet")
+    path = f"{sf}/events.parquet"
+    kind = table(spark, sf, "events").schema["ts"].dataType
+    return S.session_windows(spark, path).withColumns({c: F.col(c).cast(kind) for c in ("started", "ended")})
 
 
-@query()
+@query("""WITH e AS (SELECT *, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch FROM events),
+g AS (SELECT user_id, epoch, count(*) FILTER (WHERE event_type <> 'purchase') - count(DISTINCT event_type) FILTER (WHERE event_type <> 'purchase') AS again, count(DISTINCT event_type) FILTER (WHERE event_type <> 'purchase') AS seen FROM e GROUP BY ALL)
+SELECT user_id, CAST(max(epoch) AS BIGINT) AS epoch, CAST(sum(again) AS BIGINT) AS repeats, arg_max(seen, epoch) AS n_seen FROM g GROUP BY user_id""")
 def stream_state_machine(spark: SparkSession, sf: str) -> DataFrame:
     """Epochs and repeated reads of each user's stream, kept in state (STM8)."""
     return S.epochs(spark, f"{sf}/events.parquet")

@@ -136,10 +136,11 @@ def speech_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", T.chunk_text("text", 80).alias("chunks"))
 
 
-@query("""SELECT event_id, [CAST(json_extract(props, '$.k') AS VARCHAR)] AS found FROM events""")
+@query("""SELECT event_id, ['1', CAST(event_id AS VARCHAR), 't', CAST(json_extract(props, '$.k') AS VARCHAR)] AS found FROM events""")
 def values_by_key(spark: SparkSession, sf: str) -> DataFrame:
-    """All values under a key of a JSON text (JSN2)."""
-    return table(spark, sf, "events").select("event_id", V.values_of_key(F.col("props"), "k").alias("found"))
+    """All values under a key of a JSON text, at any depth (JSN2)."""
+    body = F.concat(F.lit('{"k":1,"x":[{"k":'), F.col("event_id").cast("string"), F.lit('},{"y":{"k":"t"}}],"z":'), F.col("props"), F.lit("}"))
+    return table(spark, sf, "events").select("event_id", V.values_of_key(body, "k").alias("found"))
 
 
 @query("""SELECT conv_id, len(list_filter(list_distinct(list(role)), lambda r: r NOT IN ('user', 'assistant'))) = 0 AS allowed FROM conversations GROUP BY conv_id""")

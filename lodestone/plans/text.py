@@ -131,7 +131,12 @@ def identifiers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.identifier("source").alias("source_id"), T.spell_digits(F.col("doc_id").cast("string"), "abcdefghij").alias("spelled"), T.after_last("text", " ").alias("last_word"))
 
 
-@query("SELECT event_id, '{\"k\":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' AS props FROM events")
+@query("""SELECT event_id, '{"a":{"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '},"deep":{"b":{"c":{"d":{"e":{"f":"…"}}}}},"items":[{"ok":' || event_id || '},"[image omitted]"]}' AS props FROM events""")
 def redacted_props(spark: SparkSession, sf: str) -> DataFrame:
-    """Event properties without secrets, bounded (PRJ5, PRJ6)."""
-    return table(spark, sf, "events").select("event_id", V.redacted(F.col("props")).alias("props"))
+    """Event properties beside secrets, an image and deep nesting: without the first two, and bounded (PRJ5, PRJ6)."""
+    i = F.col("event_id").cast("string")
+    body = F.concat(
+        F.lit('{"api_key":"s'), i, F.lit('","a":'), F.col("props"), F.lit(',"items":[{"password":"p","ok":'), i, F.lit(',"my_secret_x":1},"data:image/png;base64,AAAA"],'),
+        F.lit('"deep":{"b":{"c":{"d":{"e":{"f":{"g":1}}}}},"Authorization":{"t":2}}}'),
+    )
+    return table(spark, sf, "events").select("event_id", V.redacted(body).alias("props"))
