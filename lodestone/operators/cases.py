@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..session import written
+from .relational import placed
 
 
 def grounded(cases: DataFrame, sources: dict[str, DataFrame], allowed: Column, chars: int = 600) -> DataFrame:
@@ -75,3 +76,31 @@ def preflight(cases: DataFrame, consult: Callable[[DataFrame], DataFrame], most:
     ))
     out = per.select("case", reasons.alias("reasons"), F.transform("c", lambda x: x["status"]).alias("statuses"), F.transform("c", lambda x: x["query"]).alias("turns"))
     return out.withColumn("decision", F.when(F.size("reasons") == 0, "eligible").otherwise("reject"))
+
+
+def claims_checked(answers: DataFrame, evidence: DataFrame, key: str = "case", turn: str = "turn") -> DataFrame:
+    """(case, turn, n_claims, uncited, unseen, accepted) for each of ``answers`` (case, turn, ``claims``: a list of text and
+    ``evidence`` ids): how many claims cite nothing, and how many cite what the case had not seen by that turn
+    (``evidence``: case, turn, ``evidence_id``). An answer is accepted if it claims something and both are none.
+
+    Evidence is joined by case and id, once for each citation; a null list is empty, and blank ids cite nothing."""
+    nothing = F.array().cast("array<string>")
+    each = answers.select(F.col(key).alias("c"), F.col(turn).alias("t"), F.posexplode_outer("claims").alias("i", "claim"))
+    cited = each.select("c", "t", "i", F.explode_outer(F.filter(F.coalesce("claim.evidence", nothing), lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")).alias("id"))
+    first = evidence.groupBy(F.col(key).alias("__c"), F.col("evidence_id").alias("__id")).agg(F.min(turn).alias("since"))
+    met = cited.join(first, F.col("c").eqNullSafe(F.col("__c")) & (F.col("id") == F.col("__id")), "left")
+    seen = F.coalesce(F.col("since") <= F.col("t"), F.lit(False))
+    claims = met.groupBy("c", "t", "i").agg(F.count("id").alias("n"), F.bool_and(seen).alias("all_seen"))
+    made = F.col("i").isNotNull()
+    per = claims.groupBy("c", "t").agg(F.count("i").alias("n_claims"), F.count_if(made & (F.col("n") == 0)).alias("uncited"), F.count_if(made & (F.col("n") > 0) & ~F.col("all_seen")).alias("unseen"))
+    fine = (F.col("n_claims") > 0) & (F.col("uncited") == 0) & (F.col("unseen") == 0)
+    return per.withColumn("accepted", fine).withColumnsRenamed({"c": key, "t": turn})
+
+
+def gap_filled(candidates: DataFrame, have: DataFrame, category: str, target: int, order: list[str]) -> DataFrame:
+    """The ``candidates`` that fill each category's gap to ``target``, in ``order``: as many as ``have`` (rows of a category)
+    lacks. A category without rows lacks them all; a full one takes none."""
+    held = have.groupBy(F.col(category).alias("__category")).agg(F.count(F.lit(1)).alias("__have"))
+    rows = placed(candidates, [category], order, "__place")
+    met = rows.join(held, F.col(category).eqNullSafe(F.col("__category")), "left")
+    return met.filter(F.col("__place") <= target - F.coalesce("__have", F.lit(0))).select(*candidates.columns)

@@ -89,3 +89,18 @@ def test_preflight_equals_a_loop_for_each_case(spark):
     got = {x.case: (x.decision, list(x.reasons), list(x.statuses), list(x.turns)) for x in cases.preflight(df, consult).collect()}
     want = {i: looped(t, p) for i, t, p in rows}
     assert got == want and {len(w[3]) for w in want.values()} == {1, 2, 3} and {w[0] for w in want.values()} == {"reject", "eligible"}
+
+
+def test_claims_cite_what_was_seen_by_then(spark):
+    kind = "case long, turn long, claims array<struct<text:string,evidence:array<string>>>"
+    answers = spark.createDataFrame([(1, 2, [("x", ["e1"]), ("y", ["e1", "e2"])]), (1, 3, [("x", ["e4"])]), (1, 5, [("x", ["e4", " "]), ("y", None)]), (2, 1, []), (2, 2, None), (2, 3, [("z", ["e1"])]), (None, 1, [("x", ["n"])])], kind)
+    evidence = spark.createDataFrame([(1, 1, "e1"), (1, 2, "e2"), (1, 4, "e4"), (1, 9, "e4"), (None, 1, "n")], "case long, turn long, evidence_id string")
+    got = {(r.case, r.turn): (r.n_claims, r.uncited, r.unseen, r.accepted) for r in cases.claims_checked(answers, evidence).collect()}
+    assert got == {(1, 2): (2, 0, 0, True), (1, 3): (1, 0, 1, False), (1, 5): (2, 1, 0, False), (2, 1): (0, 0, 0, False), (2, 2): (0, 0, 0, False), (2, 3): (1, 0, 1, False), (None, 1): (1, 0, 0, True)}
+
+
+def test_gaps_are_filled_in_order(spark):
+    candidates = spark.createDataFrame([(c, i) for c in ("a", "b", None) for i in range(5)], "kind string, i long")
+    have = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 3), ("b", 4)], "kind string, i long")
+    got = sorted(((r.kind or "", r.i) for r in cases.gap_filled(candidates, have, "kind", 4, ["i"]).collect()))
+    assert got == [("", 0), ("", 1), ("", 2), ("", 3), ("a", 0), ("a", 1)]
