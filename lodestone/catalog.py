@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import cases, consult, curation, events, failures, relational, retrieval, rules, streams, text  # noqa: F401  (registers)
+from .plans import cases, consult, curation, events, failures, relational, retrieval, rules, samples, streams, text  # noqa: F401  (registers)
 from .plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
