@@ -126,3 +126,23 @@ def parsed(text: Column, tools: list[str], skills: list[str]) -> Column:
     guess = _bound(near, guessed)
     unknown = F.struct(F.lit("unknown"), F.lit(""), F.create_map().cast("map<string,string>"), F.lit(0.0)).cast(KIND)
     return F.coalesce(strict, loose, guess, unknown)
+
+
+def navigation(text: Column, places: dict[str, str], stop: str, asks: str, back: str, home: str) -> Column:
+    """What a text's last line asks of a guide: (action, target), or null if it asks for no way.
+
+    ``stop`` (a pattern) halts. Where ``asks`` is found, the target is the place that the line mentions last (of phrases that
+    begin there the longest, then the last by name), by its ``places`` (phrase to place); without one, ``home`` where
+    ``back`` is found. The places are a list that the code brings along."""
+    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n]+\z", ""), r"\r\n|\r|\n")
+    line = F.trim(F.element_at(lines, -1))
+
+    def of(said: Column) -> Column:
+        last = lambda p: F.length(said) - F.instr(F.reverse(said), p[::-1]) - len(p) + 1
+        seen = [F.when(F.contains(said, F.lit(p)), F.struct(last(p).alias("at"), F.lit(len(p)).alias("size"), F.lit(place).alias("place"))) for p, place in places.items()]
+        place = F.array_max(F.array_compact(F.array(*seen)))["place"]
+        target = F.coalesce(place, F.when(said.rlike(back), F.lit(home)))
+        way = lambda action, target: F.struct(F.lit(action).alias("action"), target.alias("target"))
+        return F.when(said == "", None).when(said.rlike(stop), way("stop", F.lit(""))).when(said.rlike(asks) & target.isNotNull(), way("start", target))
+
+    return _bound(line, of)

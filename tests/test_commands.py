@@ -88,3 +88,14 @@ def test_commands_equal_a_reading_of_the_rules(spark):
     want = {i: read(t) for i, t in enumerate(texts)}
     assert [(texts[i], got[i], want[i]) for i in want if got[i] != want[i]] == []
     assert {w[3] for w in want.values()} >= {0.95, 0.85, 0.75, 0.0} and len({w[3] for w in want.values()}) > 5
+
+
+def test_navigation_takes_the_place_mentioned_last(spark):
+    places = {"main hall": "hall", "hall": "small hall", "lab": "lab", "room where blood is taken": "lab", "ward": "ward"}
+    say = {
+        "go to lab and then to main hall": ("start", "small hall"), "take me to the hall, not to the lab": ("start", "lab"), "lab": None, "go home": None, "go back": ("start", "gate"), "go to lab\nstop it": ("stop", ""),
+        "stop\ngo to ward \n": ("start", "ward"), "": None, None: None, "  \n": None, "go to the room where blood is taken": ("start", "lab"), "go to ward ward lab ward": ("start", "ward"),
+    }
+    df = spark.createDataFrame([(t,) for t in say], "text string")
+    got = {r.text: r.n and tuple(r.n) for r in df.select("text", C.navigation(df["text"], places, "stop", r"\bgo\b|take me", "back", "gate").alias("n")).collect()}
+    assert got == say
