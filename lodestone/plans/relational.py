@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..operators import relational as R
+from ..operators.ordering import ranked
 from .registry import query, table
 
 
@@ -238,3 +239,10 @@ def levenshtein_match(spark: SparkSession, sf: str) -> DataFrame:
     right = names.select(F.col("name").alias("matched"))
     out = R.best_match(heard, right, F.levenshtein("heard", "matched") <= 2, [F.levenshtein("heard", "matched"), F.col("matched")], "id")
     return out.withColumn("distance", F.levenshtein("heard", "matched"))
+
+
+@query("""SELECT item_id, (row_number() OVER (ORDER BY item_id) - 1) // 64 AS batch, (row_number() OVER (ORDER BY item_id) - 1) % 64 AS place FROM (SELECT doc_id AS item_id FROM documents)""")
+def sliced_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in order, in slices of 64: each row's slice and its place there (LIM3)."""
+    rows = ranked(table(spark, sf, "documents").select(F.col("doc_id").alias("item_id")), [F.col("item_id")], "rank")
+    return rows.select("item_id", F.floor(F.col("rank") / 64).alias("batch"), (F.col("rank") % 64).alias("place"))
