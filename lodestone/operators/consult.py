@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..session import written
+from .ordering import ranked
 from .retrieval import top_k
 
 
@@ -21,21 +23,42 @@ def associations(matches: DataFrame, edges: DataFrame, relations: list[str], k:
     return top_k(once, ["q"], [F.desc("score"), F.col("relation"), F.col("related"), F.col("matched")], k).drop("score")
 
 
-def departments(direct: DataFrame, indirect: DataFrame, first: DataFrame, belongs: DataFrame, k: int = 3) -> DataFrame:
+def departments(direct: DataFrame, indirect: DataFrame, first: DataFrame, belongs: DataFrame, k: int = 3, most: int = 10_000_000) -> DataFrame:
     """(q, department, basis, support, terms, confidence, rank): the k departments that a question's matches speak for.
 
     ``direct`` (q, entity, term) belong to departments themselves; ``indirect`` ones lead there over ``first`` (src, dst).
     ``belongs``: (entity, department). How many paths lead from an entity to a department is summed up once, before
     questions come in, so that an entity with many neighbours adds a row for each department and not for each path.
-    Departments with a direct match come first, then the more paths, then the name; terms: the first three by name."""
+    Departments with a direct match come first, then the more paths, then the name; terms: the first three by name.
+
+    Matches are dealt by question once, with an entity's departments and paths as one list of numbers; lists of indirect
+    entities come in behind that, from a table that each task holds if it has at most ``most`` numbers, else by key. So
+    a question's departments are summed where its matches are, and are never shuffled one by one."""
+    # a struct of a null equals another, so that matches without a question stay a group and joins need no other key
+    direct, indirect = (df.withColumn("q", F.struct("q")) for df in (direct, indirect))
     paths = first.distinct().join(belongs, F.col("dst") == F.col("entity")).groupBy(F.col("src").alias("of"), "department").agg(F.count(F.lit(1)).alias("paths"))
-    own = belongs.select(F.col("entity").alias("of"), "department").distinct().withColumn("paths", F.lit(1).cast("long"))
-    met = direct.join(own, F.col("entity") == F.col("of")).withColumn("direct", F.lit(True))
-    met = met.unionByName(indirect.join(paths, F.col("entity") == F.col("of")).withColumn("direct", F.lit(False)))
-    per = met.groupBy("q", "department").agg(F.sum("paths").alias("support"), F.bool_or("direct").alias("direct"), F.slice(F.sort_array(F.collect_set("term")), 1, 3).alias("terms"))
+    paths = written(paths, "paths")
+    names = ranked(belongs.select("department").distinct(), [F.col("department")], "d").withColumnRenamed("department", "name")
+    listed = lambda df: df.join(names, F.col("department").eqNullSafe(F.col("name"))).groupBy("of").agg(F.collect_list(F.struct(F.col("d").cast("int").alias("d"), "paths")).alias("to"))
+    own = listed(belongs.select(F.col("entity").alias("of"), "department").distinct().withColumn("paths", F.lit(1).cast("long")))
+    led = listed(paths)
+    known = direct.join(own, F.col("entity") == F.col("of")).select("q", "entity", "term", F.lit(True).alias("direct"), "to")
+    asked = indirect.select("q", "entity", "term", F.lit(False).alias("direct"), F.lit(None).cast(known.schema["to"].dataType).alias("to"))
+    if paths.count() <= most:
+        rows = known.unionByName(asked).repartition("q").join(F.broadcast(led.withColumnRenamed("to", "__led")), (F.col("entity") == F.col("of")) & ~F.col("direct"), "left")
+        met = rows.select("q", "term", "direct", F.coalesce("to", "__led").alias("to")).filter(F.col("to").isNotNull())
+    else:
+        met = known.drop("entity").unionByName(asked.drop("to").join(led, F.col("entity") == F.col("of")).select("q", "term", "direct", "to")).repartition("q")
+    per = met.select("q", "direct", F.inline("to")).groupBy("q", "d").agg(F.sum("paths").alias("support"), F.bool_or("direct").alias("direct"))
+    best = top_k(per, ["q"], [F.desc("direct"), F.desc("support"), F.col("d")], k)
+    # a department's terms are looked up for the chosen ones only
+    chosen = best.groupBy(F.col("q").alias("of_q")).agg(F.collect_list(F.struct("d", "support", "direct", "rank")).alias("best"))
+    held = met.select("q", "term", "to").join(chosen, F.col("q") == F.col("of_q"))
+    held = held.select("q", "term", F.inline(F.filter("best", lambda x: F.exists("to", lambda y: y["d"] == x["d"]))))
+    out = held.groupBy("q", "d", "support", "direct", "rank").agg(F.slice(F.sort_array(F.collect_set("term")), 1, 3).alias("terms"))
     confidence = F.when(F.col("direct"), 0.95).otherwise(F.round(F.least(F.lit(0.70), 0.52 + 0.03 * F.col("support")), 3))
-    best = top_k(per, ["q"], [F.desc("direct"), F.desc("support"), F.col("department")], k)
-    return best.select("q", "department", F.when(F.col("direct"), "direct").otherwise("two_hop").alias("basis"), "support", "terms", confidence.alias("confidence"), "rank")
+    out = out.join(names.withColumnRenamed("d", "__d"), F.col("d") == F.col("__d"))
+    return out.select("q.q", F.col("name").alias("department"), F.when(F.col("direct"), "direct").otherwise("two_hop").alias("basis"), "support", "terms", confidence.alias("confidence"), "rank")
 
 
 def answered(questions: DataFrame, matches: DataFrame, found: dict[str, tuple[DataFrame, str]], urgent: Column, ambiguous: Column, blocked: Column, intent: Column) -> DataFrame:
