@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .commands import bound
+
 #: Marks that end a clause; a negation reaches no further.
 CLAUSE = "[，。！？；,.!?;]"
 
@@ -18,35 +20,42 @@ def _listed(values: list[str]) -> Column:
 
 def asserted(text: Column, pattern: str, negation: str) -> Column:
     """Whether the first match of ``pattern`` stands in the text with no match of ``negation`` before it in its clause."""
-    before = F.regexp_extract(text, f"(?s)^(.*?)(?:{pattern})", 1)
-    clause = F.regexp_extract(before, f"([^{CLAUSE[1:-1]}]*)$", 1)
-    return text.rlike(pattern) & ~clause.rlike(negation)
+    # a match of no width at the beginning is none to ``split``
+    before = F.when(text.rlike(f"(?s)^(?:{pattern})"), "").otherwise(F.split(text, f"(?s)(?:{pattern})", 2)[0])
+    return text.rlike(pattern) & ~F.element_at(F.split(before, CLAUSE), -1).rlike(negation)
 
 
 def coded_rules(text: Column, rules: list[tuple[str, str]], negation: str, composites: list[tuple[str, str, list[str]]] | None = None, most: int = 5) -> Column:
     """Codes of the rules (code, pattern) that a text asserts, in order, then of the composites (code, head, companions)
     of which it asserts the head and one companion at least; each once, at most ``most``. Null text: none."""
-    text = F.coalesce(text, F.lit(""))
-    codes = [F.when(asserted(text, p, negation), code) for code, p in rules]
-    for code, head, companions in composites or []:
-        some = F.lit(False)
-        for p in companions:
-            some = some | asserted(text, p, negation)
-        codes.append(F.when(asserted(text, head, negation) & some, code))
-    return F.slice(F.array_distinct(F.array_compact(F.array(*codes))), 1, most) if codes else F.array().cast("array<string>")
+    if not rules and not composites:
+        return F.array().cast("array<string>")
+
+    def codes(text: Column) -> Column:
+        held = [F.when(asserted(text, p, negation), code) for code, p in rules]
+        for code, head, companions in composites or []:
+            some = F.lit(False)
+            for p in companions:
+                some = some | asserted(text, p, negation)
+            held.append(F.when(asserted(text, head, negation) & some, code))
+        return F.slice(F.array_distinct(F.array_compact(F.array(*held))), 1, most)
+
+    return bound(F.coalesce(text, F.lit("")), codes)
 
 
 def polarity(text: Column, terms: list[str], negation: str, most: int = 12) -> Column:
     """(positive, negative): the terms that a text holds without and behind a negation in their clause, longest first.
     A term inside a longer one that was found is left out, and a negated term is not positive."""
-    clauses = F.split(F.coalesce(text, F.lit("")), CLAUSE)
-    heads = F.transform(clauses, lambda c: F.regexp_replace(c, f"(?s)(?:{negation}).*$", ""))
-    tails = F.transform(clauses, lambda c: F.regexp_extract(c, f"(?s)((?:{negation}).*)$", 1))
     ordered = _listed(sorted(terms, key=lambda t: (-len(t), t)))
     held = lambda parts: F.filter(ordered, lambda t: F.exists(parts, lambda p: F.instr(p, t) > 0))
     longest = lambda found: F.filter(found, lambda t: ~F.exists(found, lambda o: (o != t) & (F.instr(o, t) > 0)))
-    negative = longest(held(tails))
-    return F.struct(F.slice(F.array_except(longest(held(heads)), negative), 1, most).alias("positive"), F.slice(negative, 1, most).alias("negative"))
+    behind = lambda clauses: F.transform(clauses, lambda c: F.regexp_extract(c, f"(?s)((?:{negation}).*)$", 1))
+    ahead = lambda clauses: F.transform(clauses, lambda c: F.regexp_replace(c, f"(?s)(?:{negation}).*$", ""))
+    # each list is bound before a lambda uses it, or it would be worked out again for every element
+    found = lambda parts: bound(parts, lambda p: bound(held(p), longest))
+    both = lambda clauses: F.struct(found(ahead(clauses)).alias("positive"), found(behind(clauses)).alias("negative"))
+    parted = lambda x: F.struct(F.slice(F.array_except(x["positive"], x["negative"]), 1, most).alias("positive"), F.slice(x["negative"], 1, most).alias("negative"))
+    return bound(bound(F.split(F.coalesce(text, F.lit("")), CLAUSE), both), parted)
 
 
 def confirmed(text: Column, cue: str, exact: Column, answer_mark: str | None = None) -> Column:
@@ -82,12 +91,16 @@ def consult_status(urgent: Column, ambiguous: Column, blocked: Column, intent: C
 def follow_up(text: Column, topics: list[tuple[str, list[str]]], general: list[str], denied: Column, default: str) -> Column:
     """The questions of the first topic (pattern, questions) that a text shows once the denied terms are taken out of it,
     else the general ones; without those that name a denied term; if none is left, the default."""
-    text = F.aggregate(denied, F.coalesce(text, F.lit("")), lambda t, d: F.replace(t, d, F.lit("")))
-    asked = _listed(general)
-    for pattern, questions in reversed(topics):
-        asked = F.when(text.rlike(pattern), _listed(questions)).otherwise(asked)
-    left = F.filter(asked, lambda q: ~F.exists(denied, lambda d: (d != "") & (F.instr(q, d) > 0)))
-    return F.when(F.size(left) > 0, left).otherwise(F.array(F.lit(default)))
+
+    def left(denied: Column, text: Column) -> Column:
+        asked = _listed(general)
+        for pattern, questions in reversed(topics):
+            asked = F.when(text.rlike(pattern), _listed(questions)).otherwise(asked)
+        return F.filter(asked, lambda q: ~F.exists(denied, lambda d: (d != "") & (F.instr(q, d) > 0)))
+
+    without = lambda denied: F.aggregate(denied, F.coalesce(text, F.lit("")), lambda t, d: F.replace(t, d, F.lit("")))
+    kept = bound(denied, lambda d: bound(without(d), lambda t: left(d, t)))
+    return bound(kept, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(default))))
 
 
 def within_budget(lists: dict[str, tuple[Column, int]], most: int) -> Column:
