@@ -1,6 +1,8 @@
 """Functions, operators and sources on small fixtures."""
 
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +168,21 @@ def test_entry(spark, data):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_bm25_in_blocks_of_queries_shuffles_only_the_best(spark):
+    r = random.Random(11)
+    texts = [" ".join(r.choice("abcdefghij") for _ in range(r.randint(0, 30))) for _ in range(400)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    asked = {f"q{i}": " ".join(r.choice("abcdefghijxyz") for _ in range(3)) for i in range(9)} | {"none": "zz"}
+    queries = spark.createDataFrame(list(asked.items()), "qid string, text string")
+    words = [(t or "").split() for t in texts]
+    avg, df = sum(map(len, words)) / len(words), {w: sum(w in x for x in words) for w in "abcdefghij"}
+    want = set()
+    for q, text in asked.items():
+        of = {i: sum(max(math.log((len(words) - df[w] + 0.5) / (df[w] + 0.5)), 1e-6) * x.count(w) * 2.2 / (x.count(w) + 1.2 * (0.25 + 0.75 * len(x) / avg)) for w in set(text.split()) if w in x) for i, x in enumerate(words)}
+        best = sorted((-round(s, 6), i) for i, s in of.items() if s)[:7]
+        want |= {(q, i, -s, n + 1) for n, (s, i) in enumerate(best)}
+    for block in (4, 512):
+        got = {tuple(x) for x in retrieval.bm25(docs, T.words("text"), queries, T.words("text"), 7, block=block).collect()}
+        assert got == want
