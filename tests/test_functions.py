@@ -186,3 +186,10 @@ def test_bm25_in_blocks_of_queries_shuffles_only_the_best(spark):
     for block in (4, 512):
         got = {tuple(x) for x in retrieval.bm25(docs, T.words("text"), queries, T.words("text"), 7, block=block).collect()}
         assert got == want
+
+
+def test_vectors_are_searched_by_few_queries_at_a_time(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 17), float(i % 5)]) for i in range(700)], "vec_id long, embedding array<float>").coalesce(1)
+    queries = [{"qid": i, "q": [float(i % 3), 1.0 + i % 2]} for i in range(10)]
+    got = {(r.qid, r.id) for r in retrieval._nearest(vectors, queries, 4, "vec_id", "embedding", "bigint", tile=90, few=3).collect()}
+    assert got == {(q["qid"], i) for q in queries for i in sorted(range(700), key=lambda i: (-(q["q"][0] * (i % 17) + q["q"][1] * (i % 5)), i))[:4]}
