@@ -193,3 +193,16 @@ def test_vectors_are_searched_by_few_queries_at_a_time(spark):
     queries = [{"qid": i, "q": [float(i % 3), 1.0 + i % 2]} for i in range(10)]
     got = {(r.qid, r.id) for r in retrieval._nearest(vectors, queries, 4, "vec_id", "embedding", "bigint", tile=90, few=3).collect()}
     assert got == {(q["qid"], i) for q in queries for i in sorted(range(700), key=lambda i: (-(q["q"][0] * (i % 17) + q["q"][1] * (i % 5)), i))[:4]}
+
+
+def test_a_long_text_is_packed_in_one_pass(spark):
+    r = random.Random(12)
+    sentences = [" ".join(r.choice(["word", "甲乙", "x"]) for _ in range(r.randint(1, 9))) + "." for _ in range(12_000)]
+    estimate = lambda t: 2 * sum("一" <= c <= "鿿" for c in t) + sum(not "一" <= c <= "鿿" for c in t) // 4
+    want: list[str] = []
+    for s in sentences:
+        if want and estimate(f"{want[-1]} {s}") <= 30:
+            want[-1] += f" {s}"
+        else:
+            want.append(s)
+    assert one(spark, T.pack_segments(F.col("x"), 30), " ".join(sentences)) == want
