@@ -198,6 +198,39 @@ def test_toxicity_edges(spark, edges, nothing):
     assert toxicity.score(nothing, model).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """The last word is only in rows of the largest hashes, which a bounded sample of 4,000 and 6,000 rows did not reach."""
+    n, late = 4400, 300
+    ranks = [r.id for r in spark.range(n).orderBy(F.xxhash64("id")).collect()]
+    r, last = random.Random(1), set(ranks[-late:])
+    texts = [f"{prose(r.randrange(500), 6)} {'zorkel' if i in last else 'quimbat'}" for i in range(n)] + [prose(r.randrange(500), 7) for _ in range(6500)]
+    marks = spark.createDataFrame([(i, int(i < n)) for i in range(len(texts))], "doc_id long, toxic int")
+    model = toxicity.train(docs_of(spark, texts), marks, F.lit(True))
+    asked = [f"{prose(k, 6)} {w}" for k in range(20) for w in ("zorkel", "quimbat", "plonk")]
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs_of(spark, asked), model).collect()}
+    assert [got[i] for i in range(60)] == [1, 1, 0] * 20
+
+
+def test_toxicity_counts_cells_and_pieces_leave_nothing_out(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    texts = [r.integers(1, 400, (int(n), 2)).astype(np.int32) for n in r.integers(0, 60, 90)]
+    rows = [(i % 2, i % 3 // 2, ("en", "de", None)[i % 3], t.tobytes()) for i, t in enumerate(texts)]
+    got = {(x.fold, x.label, x.lang, x.hash): x.n for x in toxicity._counted(spark.createDataFrame(rows, "fold int, label int, lang string, ids binary")).collect()}
+    want = collections.Counter((f, v, "", int(h)) for (f, v, _, _), t in zip(rows, texts, strict=True) for h in np.unique(t))
+    want += collections.Counter((-1, -1, lang, int(h)) for (_, _, lang, _), t in zip(rows, texts, strict=True) if lang for h in t[:, 0])
+    assert got == want
+    model = toxicity._begun(r.integers(0, 9, toxicity.BUCKETS + 1), np.zeros(toxicity.BUCKETS + 1), 0.5, toxicity.Training())
+    padded = [toxicity.pad(t) for t in texts]
+    ids, ends = np.concatenate([*padded, np.zeros((3, 2), np.int32)]), np.cumsum([len(t) for t in padded])
+    whole = toxicity._winners(model, ids, ends - [len(t) for t in padded], ends)
+    monkeypatch.setattr(toxicity, "PIECE", 7)
+    assert all((a == b).all() for a, b in zip(whole, toxicity._winners(model, ids, ends - [len(t) for t in padded], ends), strict=True))
+    z, y = np.sort(r.normal(0, 1, 500)), (r.random(500) < 0.4).astype(int)
+    cells = [np.flatnonzero(np.arange(500) // 5 == k) for k in range(100)]
+    cut = toxicity._cut(*[np.array([f(c) for c in cells]) for f in (lambda c: z[c].min(), lambda c: z[c].max(), lambda c: float(y[c].sum()), lambda c: float(len(c)))], precise=0.1)
+    assert sum(z >= cut) % 5 == 0  # between cells
+
+
 # 5 -----------------------------------------------------------------------------------------------------------------
 
 
