@@ -104,3 +104,16 @@ def test_gaps_are_filled_in_order(spark):
     have = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 3), ("b", 4)], "kind string, i long")
     got = sorted(((r.kind or "", r.i) for r in cases.gap_filled(candidates, have, "kind", 4, ["i"]).collect()))
     assert got == [("", 0), ("", 1), ("", 2), ("", 3), ("a", 0), ("a", 1)]
+
+
+def test_blocks_are_cut_once(spark, tmp_path):
+    """The blocks themselves, not only their ranges, come from one reading of the ordered documents."""
+    read = spark.sparkContext.accumulator(0)
+
+    def split(text):
+        read.add(1)
+        return text.split()
+
+    docs = spark.createDataFrame([(i, f"a b{i % 7} c{i}") for i in range(200)], "doc_id long, text string")
+    block_index.build(docs, F.udf(split, "array<string>")("text"), str(tmp_path / "index"), parts=4)
+    assert read.value <= 2 * 200  # the lengths, and the blocks
